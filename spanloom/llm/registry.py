@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, tokenfile
+from . import bpe, chat, decontam, htmltext, media, tokenfile
 
 QUERIES = {
+    "op1_decontamination": decontam.op1_decontamination,
     "op2_token_file": tokenfile.op2_token_file,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op7_html": htmltext.op7_html,
+    "op8_media": media.op8_media,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
+    "op1_decontamination": decontam.OP1_SQL,
     "op3_chat_formatting": chat.OP3_SQL,
 }

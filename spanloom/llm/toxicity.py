@@ -26,7 +26,7 @@ from . import labelled
 from .common import ALNUM_WORDS, free_name, prefix_hash, ragged, slices, span_hash, text_buffers, word_spans
 
 BUCKETS, DIM, GRAMS = 1 << 19, 6, (3, 4, 5, 6)
-EPOCHS, BATCH, RATE, SEED, MIN_DF = 12, 64, 0.5, 7, 3
+EPOCHS, BATCH, RATE, SEED, MIN_DF, MIN_STEPS, IDF_POWER = 12, 64, 2.0, 7, 3, 300, 2
 THRESHOLD, MOD, HELD_OUT = 0.3, 4, 2
 
 
@@ -86,14 +86,16 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> Model:
     for ids, _ in bags:
         df[ids] += 1
     least = min(MIN_DF, max(1, len(rows) // 50))
-    bags = [(ids[k], w[k]) for ids, w in bags if (k := df[ids] >= least) is not None]
+    rare = (np.log(len(rows) / np.maximum(df, 1)) ** IDF_POWER).astype(np.float32)  # common subwords say little
+    bags = [(ids[k], w[k] * rare[ids[k]]) for ids, w in bags if (k := df[ids] >= least) is not None]
     rng = np.random.default_rng(SEED)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     g_emb, g_soft, g_bias = np.full(BUCKETS, 1e-8, np.float32), np.full((DIM, 2), 1e-4, np.float32), np.full(2, 1e-2, np.float32)
     soft += rng.normal(0, 0.5, soft.shape).astype(np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-MIN_STEPS * BATCH // len(rows)))  # small samples need as many steps
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(bags))
         for k in range(0, len(order), BATCH):
             part = [x for x in order[k : k + BATCH] if len(bags[x][0])]
@@ -121,7 +123,7 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> Model:
     emb[df < least] = 0
     odds = lambda p: np.log(p / (1 - p))
     shift = odds(min(max(share, 1e-6), 1 - 1e-6)) - odds(y.mean()) if share is not None else 0.0
-    return Model(emb @ diff, bias[1] - bias[0] + shift)
+    return Model((emb @ diff) * rare, bias[1] - bias[0] + shift)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:

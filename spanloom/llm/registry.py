@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, htmltext, media, neardup, quality, tokenfile, toxicity
+from . import bpe, chat, decontam, htmltext, media, neardup, quality, suffixdedup, tokenfile, toxicity
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op2_token_file": tokenfile.op2_token_file,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_suffix_dedup": suffixdedup.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_html": htmltext.op7_html,

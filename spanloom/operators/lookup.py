@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def phrase_trie(entries: dict[str, list[str]], fold: bool = False) -> dict:
@@ -131,7 +130,7 @@ def stem(tokens: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- SRC16-SRC22, SRC28
-GAZETTEER = T.StructType.fromDDL("kind string, name string, relation string, value string")
+GAZETTEER = "kind string, name string, relation string, value string"
 
 
 def read_gazetteer(lines: DataFrame) -> DataFrame:

@@ -11,10 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-ANNOTATION = T.StructType.fromDDL("doc_id bigint, ann_id bigint, seq bigint, type string, start int, `end` int, attrs map<string,string>, hypo string")
+ANNOTATION = "doc_id bigint, ann_id bigint, seq bigint, type string, start int, `end` int, attrs map<string,string>, hypo string"
 
 
 def add(store: DataFrame, new: DataFrame) -> DataFrame:

@@ -10,13 +10,13 @@ and agreement concentrates around the Jaccard similarity like sampling does
 
 ``BANDS`` bands of ``ROWS`` coordinates each are hashed to buckets.  At 0.85 a
 pair misses all buckets with probability (1 - 0.85**5)**32 < 1e-8.  Equal sets
-are one class first.  Then, round by round, each bucket names a few leaders, and
-every other member is compared with them on full sets: work per round is linear
-in a bucket's size.  A bucket rests once all its members are known to be
-connected or all have led; no partner is ever dropped, so a bucket of any size
-is searched exactly, and members that are connected already are not compared
-again.  Leaders come from the rarest component of a bucket, which settles large
-groups of copies in one or two rounds.
+are one class first.  Then, round by round, each bucket names leaders, and every
+other member is compared with them on full sets: work per round is linear in a
+bucket's size.  The member that meets most others leads first.  Members that are
+connected already are not compared again, and those whose own, unshared shingles
+rule out any link leave (an exact bound).  A bucket rests once its members are
+known to be connected or have led; no partner is ever dropped for being one of
+many, so a bucket of any size is searched exactly.
 
 Components: labels are passed along links and through labels of labels until
 nothing changes; every step is a join, nothing is collected.
@@ -37,7 +37,7 @@ from .common import LOWER, SPACE_MASK, materialize, mix, prefix_hash, slices, sp
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 5
 COORDS = BANDS * ROWS
-LEADERS = 4
+LEADERS, PAIRS_PER_MEMBER = 8, 12
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,17 +149,15 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         links = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     links = links.where("a <> b")
     both = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    now = both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label"))
-    now = materialize(now, "labels")
+    now = materialize(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "labels")
     while True:
-        heard = both.join(now.select(F.col("node").alias("to"), F.col("label").alias("l")), "to").groupBy("node").agg(F.min("l").alias("l"))
-        nxt = now.join(heard, "node").select("node", F.least("label", "l").alias("label0"), F.col("label").alias("old"))
-        up = now.select(F.col("node").alias("label0"), F.col("label").alias("l2"))
-        nxt = materialize(nxt.join(up, "label0", "left").select("node", F.least("label0", F.coalesce("l2", "label0")).alias("label"), "old"), "labels")
+        heard = both.join(now.select(F.col("node").alias("to"), F.col("label").alias("l")), "to").select("node", "l", F.lit(None).cast("long").alias("own"))
+        nxt = heard.union(now.select("node", "label", "label")).groupBy("node").agg(F.min("l").alias("near"), F.max("own").alias("old"))
+        up = now.select(F.col("node").alias("near"), F.col("label").alias("far"))
+        nxt = materialize(nxt.join(up, "near", "left").select("node", F.least("near", "far").alias("label"), "old"), "labels")
+        now = nxt.select("node", "label")
         if nxt.where("label <> old").isEmpty():
-            now = nxt.select("node", "label")
             break
-        now = nxt.select("node", "label")
     if labels is None:
         return now
     moved = now.select(F.col("node").alias("label"), F.col("label").alias("l2"))
@@ -167,35 +165,48 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return materialize(kept.union(now.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
 
 
+def hopeless(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (rep) that no other active member can be linked with, by their shingles that no other one has.
+
+    With i shingles that someone shares, and no partner smaller than y, a
+    similarity is at most i / (size + max(i, y) - i).  Exact: nothing that could
+    link is named.
+    """
+    smallest = active.groupBy("bucket").agg(F.min("n").alias("y"))
+    members = active.join(smallest, "bucket").groupBy("rep").agg(F.min("y").alias("y"), F.first("n").alias("n"))
+    own = sets.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
+    alone = own.groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("rep")).where("k = 1").groupBy("rep").agg(F.count("*").alias("u"))
+    i = F.col("n") - F.col("u")
+    return members.join(alone, "rep").where(100 * i < percent * (F.col("n") + F.greatest(i, "y") - i)).select("rep")
+
+
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     sketched = materialize(sketch_table(docs), "sketches")
     key = ["n_shingles", "s1", "s2"]
     classes = materialize(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
-    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
-    firsts = buckets.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).where("lead <> other").select("bucket")
-    buckets = materialize(buckets.join(firsts, "bucket"), "buckets")
-    members = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(set_table(docs.join(members, "doc_id")), "sets")
-    labels, active = None, buckets
+    buckets = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("bucket", "size")
+    buckets = materialize(buckets.join(sizes, "bucket"), "buckets")
+    # the members that meet most others lead first: originals stand nearer to all than copies of copies
+    fame = materialize(buckets.groupBy("rep").agg(F.sum("size").alias("fame")), "members")
+    sets = materialize(set_table(docs.join(fame.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")), "sets")
+    famous = buckets.join(fame, "rep")
+    led = famous.groupBy("bucket").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("a"))
+    active, labels = buckets.select("bucket", "rep", "n"), None
     while not active.isEmpty():
-        if labels is None:  # first round: the smallest member leads
-            led = active.groupBy("bucket").agg(F.array(F.min("rep")).alias("leaders"))
-        else:
-            led = leaders(active)
-        pairs = active.join(led.select("bucket", F.explode("leaders").alias("a")), "bucket").where("a <> rep")
-        if labels is not None:
-            la = active.select("bucket", F.col("rep").alias("a"), F.col("label").alias("la"))
-            pairs = pairs.join(la, ["bucket", "a"]).where("la <> label")
+        pairs = active.join(led, "bucket").where("a <> rep" if labels is None else "a <> rep AND a_label <> label")
         pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        links = verified(pairs, sets, percent)
-        labels = components(links, labels)
-        # buckets whose leaders have led go on without them while they hold several components
-        rest = active.select("bucket", "rep").join(led.select("bucket", F.explode("leaders").alias("rep")), ["bucket", "rep"], "left_anti")
+        labels = components(verified(pairs, sets, percent), labels)
+        # who has led is done; buckets go on while the rest is of several components
+        rest = active.select("bucket", "rep", "n").join(led.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
         rest = rest.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        active = materialize(rest.join(mixed, "bucket").select("bucket", "rep", "label"), "active")
+        rest = materialize(several(rest), "active")
+        if rest.isEmpty():
+            break
+        active = materialize(several(rest.join(hopeless(rest, sets, percent), "rep", "left_anti")), "active")
+        led = materialize(leaders(active), "leaders")
     of_class = classes.select(*key, "rep")
     if labels is not None:
         of_class = of_class.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
@@ -206,11 +217,27 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def several(rows: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components."""
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    return rows.join(mixed, "bucket")
+
+
 def leaders(active: DataFrame) -> DataFrame:
-    """Up to LEADERS members of each bucket: of each of LEADERS shares of its components, one of the rarest."""
-    sizes = active.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
-    best = sizes.groupBy("bucket", F.pmod(F.xxhash64("label"), F.lit(LEADERS)).alias("part")).agg(F.min(F.struct("n", "rep")).alias("x"))
-    return best.groupBy("bucket").agg(F.collect_list("x.rep").alias("leaders"))
+    """(bucket, a, a_label): who leads next.
+
+    All members outside a bucket's largest component, if that makes at most
+    PAIRS_PER_MEMBER pairs a member overall (a link between components has an end
+    there, so this round is the last); else LEADERS of each bucket, of the rarest
+    components among each share of them.
+    """
+    part = active.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.min("rep").alias("rep"))
+    top = part.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("size"))
+    work = top.agg(F.sum((F.col("size") - F.col("top.k")) * F.col("size")).alias("pairs"), F.sum("size").alias("members")).first()
+    if (work.pairs or 0) <= PAIRS_PER_MEMBER * (work.members or 0):
+        return active.join(top.select("bucket", F.col("top.label").alias("largest")), "bucket").where("label <> largest").select("bucket", F.col("rep").alias("a"), F.col("label").alias("a_label"))
+    best = part.groupBy("bucket", F.pmod(F.xxhash64("label"), F.lit(LEADERS)).alias("share")).agg(F.min(F.struct("k", "rep", "label")).alias("x"))
+    return best.select("bucket", F.col("x.rep").alias("a"), F.col("x.label").alias("a_label"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,15 +119,16 @@ class Model:
     def scores(self, raw, offs, block: int = 512) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(offs) - 1, self.share)
-        x, out = self.project(raw, offs), np.empty(len(offs) - 1)
+        x, out, vectors = self.project(raw, offs), np.empty(len(offs) - 1), self.vectors.T.astype(np.float64)
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(x), block):
-            sim = x[i : i + block] @ self.vectors.T
+            # rounded, so that a text's place in a block doesn't show
+            sim = np.round(x[i : i + block].astype(np.float64) @ vectors, 9)
             near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(sim, near, 1), 0).astype(np.float64) ** 4
+            w = np.maximum(np.take_along_axis(sim, near, 1), 0) ** 4
             total = w.sum(1)
             out[i : i + block] = np.where(total > 0, (w * self.labels[near]).sum(1) / np.where(total > 0, total, 1), self.share)
-        return np.clip(out, 0, 1)
+        return np.round(np.clip(out, 0, 1), 9)
 
 
 def train(rows: list[tuple[str, int]], share: float = 0.0) -> Model:

@@ -13,10 +13,11 @@ pair misses all buckets with probability (1 - 0.85**5)**32 < 1e-8.  Equal sets
 are one class first.  Then, round by round, each bucket names leaders, and every
 other member is compared with them on full sets: work per round is linear in a
 bucket's size.  The member that meets most others leads first.  Members that are
-connected already are not compared again, and those whose own, unshared shingles
-rule out any link leave (an exact bound).  A bucket rests once its members are
-known to be connected or have led; no partner is ever dropped for being one of
-many, so a bucket of any size is searched exactly.
+connected already are not compared again.  Members that can only be linked
+through rare shingles (an exact bound) meet their partners through these and
+leave.  A bucket rests once its members are known to be connected or have led; no
+partner is ever dropped for being one of many, so a bucket of any size is searched
+exactly.
 
 Components: labels are passed along links and through labels of labels until
 nothing changes; every step is a join, nothing is collected.
@@ -37,7 +38,7 @@ from .common import LOWER, SPACE_MASK, materialize, mix, prefix_hash, slices, sp
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 5
 COORDS = BANDS * ROWS
-LEADERS, PAIRS_PER_MEMBER = 8, 12
+LEADERS, PAIRS_PER_MEMBER, RARE = 3, 8, 64
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,6 +150,8 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         links = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     links = links.where("a <> b")
     both = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
+    if both.isEmpty() and labels is not None:
+        return labels
     now = materialize(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "labels")
     while True:
         heard = both.join(now.select(F.col("node").alias("to"), F.col("label").alias("l")), "to").select("node", "l", F.lit(None).cast("long").alias("own"))
@@ -165,19 +168,38 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return materialize(kept.union(now.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
 
 
-def hopeless(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members (rep) that no other active member can be linked with, by their shingles that no other one has.
+def rare_step(rest: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(labels, rest) with all links found that need a rare shingle, and without the members that need one.
 
-    With i shingles that someone shares, and no partner smaller than y, a
-    similarity is at most i / (size + max(i, y) - i).  Exact: nothing that could
-    link is named.
+    A shingle is rare if at most RARE of the members have it.  A member with q
+    rare ones among n meets a partner of size m that shares none of them in n - q
+    shingles at most; where that is too few for every partner of a bucket, all its
+    links there go through rare shingles, whose postings are short, and it leaves
+    the bucket.  Pairs whose shared rare shingles and other shingles together are
+    too few for a link are not verified (both bounds are exact).
     """
-    smallest = active.groupBy("bucket").agg(F.min("n").alias("y"))
-    members = active.join(smallest, "bucket").groupBy("rep").agg(F.min("y").alias("y"), F.first("n").alias("n"))
-    own = sets.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
-    alone = own.groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("rep")).where("k = 1").groupBy("rep").agg(F.count("*").alias("u"))
-    i = F.col("n") - F.col("u")
-    return members.join(alone, "rep").where(100 * i < percent * (F.col("n") + F.greatest(i, "y") - i)).select("rep")
+    members = rest.groupBy("rep").agg(F.first("label").alias("label"), F.first("n").alias("n"))
+    own = sets.join(members, sets["doc_id"] == members["rep"]).select("rep", "label", "n", F.explode("shingles").alias("s"))
+    few = own.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    rare = materialize(own.join(few, "s"), "rare")
+    q = materialize(rare.groupBy("rep").agg(F.count("*").alias("q")), "rare-counts")
+    left = rare.where("df > 1").select("s", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    right = rare.where("df > 1").select("s", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = left.join(right, "s").where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    pairs = pairs.join(q.select(F.col("rep").alias("a"), F.col("q").alias("qa")), "a").join(q.select(F.col("rep").alias("b"), F.col("q").alias("qb")), "b")
+    most = F.col("c") + F.least(F.col("na") - F.col("qa"), F.col("nb") - F.col("qb"))
+    pairs = pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    labels = components(verified(pairs, sets, percent), labels)
+    smallest = rest.groupBy("bucket").agg(F.min("n").alias("y"))
+    stay = rest.select("bucket", "rep", "n").join(q, "rep", "left").join(smallest, "bucket")
+    stay = stay.where((100 + percent) * (F.col("n") - F.coalesce("q", F.lit(0))) >= percent * (F.col("n") + F.col("y"))).select("bucket", "rep", "n")
+    return labels, several(labelled(stay, labels))
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, rep, n, label): a member without a link is its own label."""
+    return rows.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
 
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -194,18 +216,20 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = materialize(set_table(docs.join(fame.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")), "sets")
     famous = buckets.join(fame, "rep")
     led = famous.groupBy("bucket").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("a"))
-    active, labels = buckets.select("bucket", "rep", "n"), None
+    active, labels, first = buckets.select("bucket", "rep", "n"), None, True
     while not active.isEmpty():
         pairs = active.join(led, "bucket").where("a <> rep" if labels is None else "a <> rep AND a_label <> label")
         pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         labels = components(verified(pairs, sets, percent), labels)
         # who has led is done; buckets go on while the rest is of several components
         rest = active.select("bucket", "rep", "n").join(led.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
-        rest = rest.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        rest = materialize(several(rest), "active")
+        rest = materialize(several(labelled(rest, labels)), "active")
         if rest.isEmpty():
             break
-        active = materialize(several(rest.join(hopeless(rest, sets, percent), "rep", "left_anti")), "active")
+        if first:  # later rounds have members that need no rare shingles
+            labels, rest = rare_step(rest, sets, labels, percent)
+            rest, first = materialize(rest, "active"), False
+        active = rest
         led = materialize(leaders(active), "leaders")
     of_class = classes.select(*key, "rep")
     if labels is not None:

@@ -38,7 +38,7 @@ from .common import LOWER, SPACE_MASK, materialize, mix, prefix_hash, slices, sp
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 5
 COORDS = BANDS * ROWS
-LEADERS, PAIRS_PER_MEMBER, RARE = 3, 8, 64
+LEADERS, PAIRS_PER_MEMBER, RARE = 3, 32, 64
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -218,7 +218,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     led = famous.groupBy("bucket").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("a"))
     active, labels, first = buckets.select("bucket", "rep", "n"), None, True
     while not active.isEmpty():
-        pairs = active.join(led, "bucket").where("a <> rep" if labels is None else "a <> rep AND a_label <> label")
+        pairs = active.join(led, "bucket").where("a <> rep") if labels is None else once(active, led)
         pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         labels = components(verified(pairs, sets, percent), labels)
         # who has led is done; buckets go on while the rest is of several components
@@ -241,6 +241,14 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def once(active: DataFrame, led: DataFrame) -> DataFrame:
+    """Leaders and members of other components, in the first bucket that they share only (both sides' lists have BANDS entries at most)."""
+    mine = active.groupBy("rep").agg(F.collect_set("bucket").alias("mine"))
+    leads = led.groupBy("a").agg(F.collect_set("bucket").alias("leads"))
+    first = F.col("bucket") == F.array_min(F.array_intersect("mine", "leads"))
+    return active.join(mine, "rep").join(led.join(leads, "a"), "bucket").where((F.col("a_label") != F.col("label")) & first)
+
+
 def several(rows: DataFrame) -> DataFrame:
     """Rows of buckets that hold several components."""
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
@@ -251,7 +259,7 @@ def leaders(active: DataFrame) -> DataFrame:
     """(bucket, a, a_label): who leads next.
 
     All members outside a bucket's largest component, if that makes at most
-    PAIRS_PER_MEMBER pairs a member overall (a link between components has an end
+    PAIRS_PER_MEMBER pairs a member overall, most of them met in several buckets (a link between components has an end
     there, so this round is the last); else LEADERS of each bucket, of the rarest
     components among each share of them.
     """

@@ -69,6 +69,11 @@ FLAGS = {
 }
 
 
+def whole_match(token: Column, pattern: str) -> Column:
+    """FEA2: the pattern fits the whole token."""
+    return token.rlike(rf"^(?:{pattern})$")
+
+
 def flags(token: Column) -> Column:
     """FEA1/FEA2: names of all flags whose pattern the whole token fits."""
     return F.filter(F.array(*[F.when(token.rlike(f"^(?:{p})$"), F.lit(n)) for n, p in FLAGS.items()]), lambda x: x.isNotNull())
@@ -85,7 +90,7 @@ def year_bounds(token: Column) -> Column:
 
 
 def hour_minute(token: Column) -> Column:
-    """SEQ19: h:mm; 24 and 60 are let through, as in the reference."""
+    """SEQ19: h:mm; 24 and 60 are let through."""
     h, m = F.regexp_extract(token, r"^([0-9]{1,2}):([0-9]{2})$", 1), F.regexp_extract(token, r"^([0-9]{1,2}):([0-9]{2})$", 2)
     return (h != "") & F.coalesce(F.try_to_number(h, F.lit("99")) <= 24, F.lit(False)) & F.coalesce(F.try_to_number(m, F.lit("99")) <= 60, F.lit(False))
 

@@ -108,8 +108,8 @@ def last_before(positions: DataFrame, spans: DataFrame, name: str) -> DataFrame:
 
     One union and one window per document order; no range join.
     """
-    p = positions.select("doc_id", F.col("pos").alias("at"), F.lit(1).alias("side"), F.struct(*positions.columns).alias("row"), F.lit(None).cast("int").alias("s"))
-    s = spans.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(p.schema["row"].dataType).alias("row"), F.col("start").cast("int").alias("s"))
+    p = positions.select("doc_id", F.col("pos").alias("at"), F.lit(1).alias("side"), F.struct(*positions.columns).alias("row"), F.lit(None).cast("long").alias("s"))
+    s = spans.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(p.schema["row"].dataType).alias("row"), F.col("start").cast("long").alias("s"))
     w = W.partitionBy("doc_id").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
     return p.unionByName(s).withColumn(name, F.last("s", ignorenulls=True).over(w)).where("side = 1").select("row.*", name)
 

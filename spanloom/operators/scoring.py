@@ -1,7 +1,7 @@
 """Scores and corpus counts: joins and aggregates, nothing per document on the driver.
 
 Responses and keys are annotation tables.  All ratios guard against an empty
-denominator with null (the reference yields NaN there).
+denominator with null.
 """
 
 from __future__ import annotations

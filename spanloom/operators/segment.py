@@ -119,9 +119,14 @@ def emails(text: Column) -> Column:
 
 
 # ---------------------------------------------------------------- SEG4
+def word_array(text: Column) -> Column:
+    """SEG4: white-space tokens of a text as an array (empty for null)."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+
+
 def words(docs: DataFrame, text: str = "text") -> DataFrame:
     """SEG4: white-space tokens as rows ``doc_id, seq, token``."""
-    return docs.select("doc_id", F.posexplode(F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")).alias("seq", "token"))
+    return docs.select("doc_id", F.posexplode(word_array(F.col(text))).alias("seq", "token"))
 
 
 def pieces(docs: DataFrame, sep: str, type_: str, text: str = "text") -> DataFrame:
@@ -237,10 +242,18 @@ def dateline_end(text: Column) -> Column:
     return out
 
 
+def _trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
+def is_blank(line: Column) -> Column:
+    """SEG9: nothing but white space and control signs."""
+    return _trimmed(line) == ""
+
+
 def is_text_break(line: Column) -> Column:
     """SEG9: blank, or nothing but ``-``, ``_`` and ``~``."""
-    trimmed = F.regexp_replace(line, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return (trimmed == "") | trimmed.rlike(r"^[-_~]+$")
+    return is_blank(line) | _trimmed(line).rlike(r"^[-_~]+$")
 
 
 def sentence_number(positions: DataFrame, sents: DataFrame) -> DataFrame:

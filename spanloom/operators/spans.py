@@ -58,6 +58,21 @@ def within(inner: DataFrame, outer: DataFrame, prefix: str = "outer_") -> DataFr
     return inner.join(o, "doc_id").where((F.col("start") >= F.col(prefix + "start")) & (F.col("end") <= F.col(prefix + "end")))
 
 
+def within_disjoint(inner: DataFrame, outer: DataFrame, prefix: str = "outer_") -> DataFrame:
+    """ANN7 where spans of ``outer`` do not overlap: only the last one that starts at or before a span can hold it.
+
+    One union and one window per document instead of a range join.
+    """
+    o = F.struct(*[F.col(c).alias(prefix + c) for c in outer.columns if c != "doc_id"])
+    i = F.struct(*[c for c in inner.columns if c != "doc_id"])
+    holders = outer.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("side"), o.alias("o"))
+    rows = inner.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("side"), i.alias("i"))
+    both = holders.unionByName(rows, allowMissingColumns=True)
+    w = W.partitionBy("doc_id").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
+    last = both.withColumn("o", F.last("o", ignorenulls=True).over(w)).where("side = 1 AND o IS NOT NULL")
+    return last.select("doc_id", "i.*", "o.*").where(F.col("end") <= F.col(prefix + "end"))
+
+
 def types(store: DataFrame) -> DataFrame:
     """ANN8: distinct types, in name order."""
     return store.select("type").distinct().orderBy("type")

@@ -152,5 +152,5 @@ def render(docs: DataFrame, annotations: DataFrame, types: list[str] | None = No
 
 
 def strip_markup(text):
-    """SRC10: text without tags; what follows a tag that never closes goes, as in the reference."""
+    """SRC10: text without tags; what follows a tag that never closes goes."""
     return F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", ""), r"(?s)<.*$", "")

@@ -7,10 +7,16 @@ it shows) and of its content (its text).  Boilerplate looks and reads alike on
 every page, so its entropy is low; such branches are cut from each page.
 
 Before the tree decides, tags and class names that say what a branch is for
-(navigation, adverts, notices, forms, comments ...) settle it.  ``article`` and
-``main`` themselves are never cut by entropy: a host may well hold one text many
-times over.  Hosts with fewer than ``MIN_PAGES`` distinct pages have no entropy
-to speak of; there the labels alone decide.
+(navigation, adverts, notices, forms, comments ...) settle it: adverts and
+comments may differ on every page, which entropy takes for content.  All else
+is in the tree, outside ``article`` and ``main`` too: what is important there
+stays, and where nothing was measured the main part is the text.
+
+``html``, ``body``, ``article``, ``main`` and their own paragraphs and headings
+are one style node on every page, so there each content is a node of its own:
+its importance falls with the share of the host's distinct texts that hold it.
+Pages of one text count once, as a host may well hold one text many times over.
+Nodes seen on fewer than ``MIN_PAGES`` distinct pages have no entropy to speak of.
 
 The tree is built by ordinary aggregation: pre-aggregated counts per (host,
 path, feature), then one row per (host, path); a host with a third of all pages
@@ -31,8 +37,8 @@ from html import unescape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MIN_PAGES, MIN_IMPORTANCE, PRESENTATION = 8, 0.2, 0.3
-#: cut lists up to this size are broadcast
+MIN_PAGES, MIN_IMPORTANCE, PRESENTATION = 3, 0.2, 0.3
+#: lists of measured nodes up to this size are broadcast
 BROADCAST_BYTES = 16 << 20
 
 _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|!--(?:>|->|.*?(?:--!?>|$))|[!?/][^>]*(?:>|$))""", re.S)
@@ -181,47 +187,80 @@ def _fixed(path: str) -> bool:
     return bool(re.fullmatch(r"(?:/(?:html|body|article|main)(?:[.#][^/]*)?)*(?:/(?:p|h[1-6]))?", path))
 
 
-def page_nodes(html: str) -> list[tuple[str, str, str]]:
-    """(path, presentation hash, content hash) of the style nodes that labels leave open."""
+def _digest(xs) -> str:
+    return hashlib.blake2b("\n".join(xs).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _content(path: str, text: str) -> str:
+    """Node of one content of a fixed path."""
+    return f"{path}={_digest([text])}"
+
+
+def page_nodes(html: str) -> list[tuple[str, str, str, str]]:
+    """(page, path, presentation hash, content hash) of the style nodes that labels leave open; contents of fixed paths have no hashes."""
+    found = blocks(html)
     nodes: dict[str, tuple[list, list]] = {}
-    for path, tag, _, text in _main_blocks(blocks(html)):
+    for path, tag, _, text in found:
         for b in _branches(path):
             if not _fixed(b):
                 shape, words = nodes.setdefault(b, ([], []))
                 if not shape or shape[-1] != tag:
                     shape.append(tag)
                 words.append(text)
-    digest = lambda xs: hashlib.blake2b("\n".join(xs).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-    return [(p, digest(s), digest(w)) for p, (s, w) in nodes.items()]
+    page, whole = _digest([html]), _digest([x[3] for x in _main_blocks(found)])
+    own = {_content(path, text) for path, _, _, text in found if _fixed(path)}
+    return [(page, p, _digest(s), _digest(w)) for p, (s, w) in nodes.items()] + [(whole, p, None, None) for p in sorted(own)]
+
+
+def _verdicts(paths) -> dict[str, bool]:
+    """Measured nodes, true if unimportant, of their paths marked - or +."""
+    return {p[1:]: p[0] == "-" for p in paths}
+
+
+def _verdict(found, tree: dict[str, bool]) -> list[str]:
+    """Texts of ``found`` that stay, by ``tree``: measured nodes, true if unimportant."""
+    def cut(path, text):
+        return any(tree.get(p) for p in _branches(path)) or _fixed(path) and tree.get(_content(path, text))
+
+    def measured(path):
+        return "" in tree if _fixed(path) else any(p in tree for p in _branches(path))
+
+    some = any(x[2] for x in found)
+    return [x[3] for x in found if not cut(x[0], x[3]) and (x[2] or not some or measured(x[0]))]
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, importance) over each host's distinct pages."""
+    """(host, path, pages, importance) over each host's distinct pages, of style nodes and of contents that at least MIN_PAGES texts hold; path "" counts a host's texts."""
 
     def nodes(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = [(host_of(u), hashlib.blake2b(h.encode(), digest_size=8).hexdigest(), *x) for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if h for x in page_nodes(h)]
+            rows = [(host_of(u), *x) for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if h for x in page_nodes(h)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(5)], names=["host", "page", "path", "shape", "words"])
 
     seen = pages.select(url_col, html_col).mapInArrow(nodes, "host string, page string, path string, shape string, words string").distinct()
-    kinds = seen.select("host", "path", F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.col("shape").alias("f")), F.struct(F.lit("w").alias("kind"), F.col("words").alias("f")))).alias("x")).select("host", "path", "x.*")
+    kinds = seen.where("words IS NOT NULL").select("host", "path", F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.col("shape").alias("f")), F.struct(F.lit("w").alias("kind"), F.col("words").alias("f")))).alias("x")).select("host", "path", "x.*")
     counts = kinds.groupBy("host", "path", "kind", "f").agg(F.count("*").alias("c"))
     entropy = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("cl"))
     even = F.when(F.col("n") > 1, (F.log("n") - F.col("cl") / F.col("n")) / F.log("n")).otherwise(1.0)
     weight = F.when(F.col("kind") == "s", PRESENTATION).otherwise(1 - PRESENTATION)
-    return entropy.groupBy("host", "path").agg(F.max("n").alias("pages"), F.sum(even * weight).alias("importance"))
+    styles = entropy.groupBy("host", "path").agg(F.max("n").alias("pages"), F.sum(even * weight).alias("importance"))
+    own = seen.where("words IS NULL")
+    texts = own.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    shared = own.groupBy("host", "path").agg(F.count("*").alias("c")).where(F.col("c") >= MIN_PAGES)
+    contents = shared.join(texts, "host").select("host", "path", "pages", (1 - F.log("c") / F.log("pages")).alias("importance"))
+    return styles.unionByName(contents).unionByName(texts.select("host", F.lit("").alias("path"), "pages", F.lit(1.0).alias("importance")))
 
 
 def main_text(pages: DataFrame, keep=("page_id", "url"), url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``keep`` columns of every page, ``text`` and ``n_chars`` (code points)."""
-    low = style_tree(pages, url_col, html_col).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE))
-    cuts = low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("cut_paths")).persist()
+    known = style_tree(pages, url_col, html_col).where(F.col("pages") >= MIN_PAGES).withColumn("low", F.col("importance") < MIN_IMPORTANCE)
+    cuts = known.groupBy("host").agg(F.sort_array(F.collect_list(F.concat(F.when(F.col("low"), "-").otherwise("+"), "path"))).alias("cut_paths")).persist()
     size = cuts.agg(F.sum(F.length(F.to_json(F.struct("host", "cut_paths"))))).first()[0] or 0
     kinds = dict(pages.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string, n_chars long"
-    small = {r.host: frozenset(r.cut_paths) for r in cuts.collect()} if size <= BROADCAST_BYTES else None
+    small = {r.host: _verdicts(r.cut_paths) for r in cuts.collect()} if size <= BROADCAST_BYTES else None
     cols = [*keep, url_col, html_col]
     rows = pages.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
     if small is None:  # too large to send everywhere: join by host
@@ -236,9 +275,8 @@ def main_text(pages: DataFrame, keep=("page_id", "url"), url_col: str = "url", h
             out = []
             joined = b.column(k + 2).to_pylist() if small is None else None
             for i, (u, h) in enumerate(zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist())):
-                cut = small.get(host_of(u), frozenset()) if joined is None else frozenset(joined[i] or ())
-                found = _main_blocks(blocks(h)) if h else []
-                out.append("\n\n".join(x[3] for x in found if not cut or not any(p in cut for p in _branches(x[0]))))
+                tree = small.get(host_of(u), {}) if joined is None else _verdicts(joined[i] or ())
+                out.append("\n\n".join(_verdict(blocks(h), tree)) if h else "")
             names = [*keep, "text", "n_chars"]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(k)], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=names)
 

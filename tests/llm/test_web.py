@@ -39,6 +39,22 @@ def test_pages_without_marks_use_the_style_tree(spark):
     assert all("Same words" not in r.text and r.text for r in out)
 
 
+def test_tree_measures_articles_and_what_stands_outside(spark):
+    rng = random.Random(4)
+    notice, made = "This text is for members of our readers' club.", {}
+    for host, n in (("c.example", 12), ("d.example", 4), ("e.example", 1)):
+        for k in range(n):
+            lead, body, last = prose(rng, 12), prose(rng, 30), prose(rng, 9)
+            made[len(made)] = (host, lead, body, last)
+    page_of = lambda lead, body, last: f"<html><body><div class='q1'>{lead}</div><div class='q2'>Same on all pages</div><article><p>{body}</p><p>{notice}</p></article><p>{last}</p><nav>{body[:9]}</nav></body></html>"
+    rows = [(k, f"http://{host}/{k}", page_of(*x)) for k, (host, *x) in made.items()]
+    rows += [(100 + k, f"http://f.example/{k}", f"<html><body><article><p>One text many times</p></article><div>{prose(rng, 5)}</div></body></html>") for k in range(10)]
+    out = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, (host, lead, body, last) in made.items():
+        assert out[k] == ("\n\n".join((body, notice)) if host == "e.example" else "\n\n".join((lead, body, last)))
+    assert all("One text many times" in out[100 + k] for k in range(10))
+
+
 def test_join_path_equals_broadcast_path(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(k, f"http://h{k % 2}.example/", f"<div class='q1'>Same words</div><div class='q2'><p>{prose(rng, 25)}</p></div>") for k in range(24)]

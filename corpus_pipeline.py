@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from spanloom.llm import bpe, decontam, neardup, suffixdedup, toxicity
 from spanloom.llm.common import materialize
 
+#: similarity of 5-word shingles from which documents are near copies; op6 itself has its own
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
@@ -28,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates, and all others."""
-    copies = neardup.link_components(docs).where("NOT kept").select("doc_id").distinct()
+    copies = neardup.link_components(docs, NEAR_PERCENT).where("NOT kept").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -47,6 +47,18 @@ def test_stages_equal_brute_force(spark, sf_dir, tmp_path):
     assert rows == {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
 
 
+def test_near_copies_from_80_percent_on_are_dropped(spark):
+    words = [f"w{k}" for k in range(104)]  # 100 shingles
+    changed = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    # 90 of 110 shingles (0.818) are shared with the first, then 85 of 115 (0.739)
+    rows = [(1, " ".join(words)), (2, changed(30, 60)), (3, changed(20, 50, 80))]
+    sets = {i: test_neardup.shingles(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= alike(1, 2) < 0.85 and alike(1, 3) < 0.8 and alike(2, 3) < 0.8
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
 def test_run_and_odd_tables(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() > 20
     for t in ("benchmark", "labels"):

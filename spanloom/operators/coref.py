@@ -8,6 +8,8 @@ conversions are joins and aggregates.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,13 +197,32 @@ def links_from_chains(chains: DataFrame) -> DataFrame:
     return m.withColumn("ref", F.lag("mention").over(W.partitionBy("doc_id", "entity").orderBy("i"))).select("doc_id", "mention", "ref")
 
 
-def chains_from_links(links: DataFrame, depth: int = 100) -> DataFrame:
-    """REF12: (doc_id, mention, root) of (doc_id, mention, ref), following at most ``depth`` references.
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` read back from the checkpoint folder: without it the plan doubles with every round."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        top = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+        spark.sparkContext.setCheckpointDir(top)
+    path = f"{top.rstrip('/')}/spanloom/chains-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    Pointer doubling: every round halves what is left of a chain.
+
+def chains_from_links(links: DataFrame) -> DataFrame:
+    """REF12: (doc_id, mention, root) of (doc_id, mention, ref), following every chain to its end.
+
+    Pointer doubling: every round halves what is left of a chain, until all roots
+    are reached (the reference stops after 100).  Mentions that refer to each
+    other in a circle have no root and get one of the circle's.
     """
-    now = links.select("doc_id", "mention", F.coalesce("ref", "mention").alias("root"))
-    for _ in range(max(1, depth.bit_length())):
-        up = now.select("doc_id", F.col("mention").alias("root"), F.col("root").alias("next"))
-        now = now.join(up, ["doc_id", "root"], "left").select("doc_id", "mention", F.coalesce("next", "root").alias("root"))
-    return now
+    at_end = F.col("ref").isNull() | (F.col("ref") == F.col("mention"))
+    now = _written(links.select("doc_id", "mention", F.coalesce("ref", "mention").alias("root"), at_end.alias("done")))
+    for _ in range(now.count().bit_length() + 1):  # no chain is longer than there are mentions
+        rest = now.where("NOT done")
+        if rest.isEmpty():
+            break
+        up = now.select(F.col("doc_id").alias("doc"), F.col("mention").alias("to"), F.col("root").alias("next"), F.col("done").alias("last"))
+        moved = rest.join(up, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("root") == F.col("to")), "left").select("doc_id", "mention", F.coalesce("next", "root").alias("root"), F.coalesce("last", F.lit(True)).alias("done"))
+        now = _written(now.where("done").unionByName(moved))
+    return now.select("doc_id", "mention", "root")

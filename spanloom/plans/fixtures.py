@@ -79,7 +79,7 @@ def pattern_match(spark, sf):
 def ref_chains(spark, sf):
     """REF12: index to chains, chains to links, links back to entities by pointer doubling."""
     rows = table(spark, sf, "orders", "o_custkey", "o_orderkey", "o_orderstatus").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("entity"), F.col("o_orderkey").alias("mention"))
-    return coref.chains_from_links(coref.links_from_chains(coref.chains_from_index(rows)), 64).select("doc_id", "mention", "root")
+    return coref.chains_from_links(coref.links_from_chains(coref.chains_from_index(rows))).select("doc_id", "mention", "root")
 
 
 @P.add("ref7_pronouns", """SELECT p AS pronoun, n AS number, h AS human, g AS gender,

@@ -182,3 +182,11 @@ def test_stream_sessions_and_annotation(spark, tmp_path):
     docs = spark.readStream.schema("doc_id int, text string").parquet(f"{tmp_path}/docs")
     sessions.annotate_stream(docs, segment.words, f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_long_reference_chains_reach_their_roots(spark):
+    chain = [(d, k, k - 1 if k else None) for d, n in ((1, 700), (None, 300), (2, 1)) for k in range(n)]
+    odd = [(3, 1, 2), (3, 2, 3), (3, 3, 1), (4, 5, 5), (5, 6, 99)]
+    got = {(r.doc_id, r.mention): r.root for r in coref.chains_from_links(spark.createDataFrame(chain + odd, "doc_id long, mention long, ref long")).collect()}
+    assert len(got) == len(chain) + len(odd) and all(got[d, k] == 0 for d, k, _ in chain)
+    assert got[4, 5] == 5 and got[5, 6] == 99 and all(got[3, k] in (1, 2, 3) for k in (1, 2, 3))

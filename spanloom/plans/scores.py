@@ -127,9 +127,21 @@ p AS (SELECT e, k, name, list(name) OVER (PARTITION BY e ORDER BY k ROWS BETWEEN
 SELECT CASE WHEN prior IS NULL OR len(prior) = 0 THEN 'first' WHEN list_contains(prior, name) THEN 'identical' ELSE 'other' END AS class, count(*) AS n FROM p GROUP BY 1""")
 def name_history(spark, sf):
     """AGG14 on names whose words never shorten each other: first, identical or other."""
+    return _name_classes(table(spark, sf, "customer", "c_nationkey", "c_custkey", "c_mktsegment").where("c_custkey % 50 < 5"))
+
+
+@P.add("agg14_name_history_all", """WITH c AS (SELECT c_nationkey AS e, c_custkey AS k, 'Ann ' || c_mktsegment AS name FROM customer),
+p AS (SELECT row_number() OVER (PARTITION BY e ORDER BY k) AS i, row_number() OVER (PARTITION BY e, name ORDER BY k) AS j FROM c)
+SELECT CASE WHEN i = 1 THEN 'first' WHEN j > 1 THEN 'identical' ELSE 'other' END AS class, count(*) AS n FROM p GROUP BY 1""")
+def name_history_all(spark, sf):
+    """AGG14 over every customer; ``agg14_name_history`` has a tenth of them, as its SQL says."""
+    return _name_classes(table(spark, sf, "customer", "c_nationkey", "c_custkey", "c_mktsegment"))
+
+
+def _name_classes(customers):
     from pyspark.sql.window import Window as W
 
-    rows = table(spark, sf, "customer", "c_nationkey", "c_custkey", "c_mktsegment").where("c_custkey % 50 < 5").select("c_nationkey", "c_custkey", F.concat(F.lit("Ann "), "c_mktsegment").alias("name"))
+    rows = customers.select("c_nationkey", "c_custkey", F.concat(F.lit("Ann "), "c_mktsegment").alias("name"))
     w = W.partitionBy("c_nationkey").orderBy("c_custkey").rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn("prior", F.collect_set("name").over(w)).groupBy(scoring.name_history_class(F.col("name"), F.col("prior")).alias("class")).agg(F.count("*").alias("n"))
 

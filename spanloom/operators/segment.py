@@ -278,8 +278,8 @@ _FUNCTION_WORDS = "a|an|and|as|at|but|by|for|from|in|into|of|on|or|the|to|with|o
 
 
 def is_title_case(text: Column) -> Column:
-    """SEG12: every word of letters starts with a capital, function words aside."""
-    return text.rlike(r"\b[A-Z]") & ~text.rlike(rf"(^|\s)(?!(?:{_FUNCTION_WORDS})\b)[a-z]")
+    """SEG12: every word of letters starts with a capital, function words aside; letters of any script, and spaces that break no line bind words."""
+    return text.rlike(r"(?U)\b\p{IsUppercase}") & ~text.rlike(rf"(?U)(^|[\s&&[^\x85\xA0\u2007\u202F]])(?!(?:{_FUNCTION_WORDS})\b)\p{{IsLowercase}}")
 
 
 def document_id(tags: DataFrame) -> DataFrame:

@@ -152,7 +152,16 @@ FROM (SELECT lang, unnest(string_split(coalesce(text, ''), chr(10))) AS line FRO
 )
 def title_case(spark, sf):
     """SEG12 over the lines of ASCII texts."""
-    docs = table(spark, sf, "documents", "lang", "text").where(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x7F]"))
+    return _titles(table(spark, sf, "documents", "lang", "text").where(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x7F]")))
+
+
+@P.add("seg12_title_case_all")
+def title_case_all(spark, sf):
+    """SEG12 over the lines of all texts; ``seg12_title_case`` has those of ASCII ones, as its SQL says."""
+    return _titles(table(spark, sf, "documents", "lang", "text"))
+
+
+def _titles(docs):
     lines = docs.select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
     return lines.groupBy("lang").agg(F.count(F.when(segment.is_title_case(F.col("line")), 1)).alias("titles"), F.count("*").alias("lines"))
 

@@ -190,3 +190,26 @@ def test_long_reference_chains_reach_their_roots(spark):
     got = {(r.doc_id, r.mention): r.root for r in coref.chains_from_links(spark.createDataFrame(chain + odd, "doc_id long, mention long, ref long")).collect()}
     assert len(got) == len(chain) + len(odd) and all(got[d, k] == 0 for d, k, _ in chain)
     assert got[4, 5] == 5 and got[5, 6] == 99 and all(got[3, k] in (1, 2, 3) for k in (1, 2, 3))
+
+
+def test_title_case_of_all_texts_equals_brute_force(spark, tmp_path):
+    import re
+
+    from spanloom.plans import registry
+
+    words = "a|an|and|as|at|but|by|for|from|in|into|of|on|or|the|to|with|over|under|after".split("|")
+
+    def title(line):
+        capital = any(c.isupper() and (k == 0 or not (line[k - 1].isalnum() or line[k - 1] == "_")) for k, c in enumerate(line))
+        small = [w for w in re.split(r"[ \t\n\x0b\f\r\u2003]", line) if w and w[0].islower() and re.match(r"\w+", w)[0] not in words]
+        return capital and not small
+
+    texts = [("de", "Über den Wolken\nÜber Wolken\nÄrger in Köln"), ("fr", "Étude of Étoiles\nÉtude école\nétude"), ("en", "A Title\nNot a title\nThe End of It"), ("ru", "Война\u00a0и Мир\nВойна и Мир"), ("fr", None), ("fr", "École\u2003École\nÉcole\u2003école")]
+    spark.createDataFrame(texts, "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for lang, text in texts:
+        for line in (text or "").split("\n"):
+            a, b = want.get(lang, (0, 0))
+            want[lang] = (a + title(line), b + 1)
+    got = {r.lang: (r.titles, r.lines) for r in registry.QUERIES["seg12_title_case_all"](spark, str(tmp_path)).collect()}
+    assert got == want and want["ru"] == (1, 2) and want["de"] == (2, 3)

@@ -246,4 +246,11 @@ def edge_union(spark, sf):
     return rows.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).union(rows.select("l_partkey", "l_suppkey")).distinct()
 
 
+@P.add("set3_edge_union_all", "SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem UNION SELECT l_partkey, l_suppkey FROM lineitem")
+def edge_union_all(spark, sf):
+    """SET3/PRS11 over every row; ``set3_edge_union`` has those of first lines only, as its SQL says."""
+    rows = table(spark, sf, "lineitem", "l_suppkey", "l_partkey")
+    return rows.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).union(rows.select("l_partkey", "l_suppkey")).distinct()
+
+
 QUERIES, ORACLES = P.queries, P.oracles

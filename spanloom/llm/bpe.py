@@ -2,21 +2,22 @@
 
 Each text is cut where a rolling hash of the last 16 bytes says so, so equal
 passages are cut alike wherever they stand.  A chunk is encoded once in a
-Python worker and found by its hash afterwards; at every join of two chunks the
-text between the neighbouring safe boundaries is encoded again, and the window
+Python worker and found by a 128-bit digest afterwards; at every join of two chunks
+the text between the neighbouring safe boundaries is encoded again, and the window
 widens until its ends are token boundaries on both sides (exact agreement).
 
 A position before a space that a visible sign follows is a *safe boundary*: the
 pre-tokenizer always starts a token there and never looks across it.
 
 ``Encoder`` gives the same ids as ``Tokenizer.encode(add_special_tokens=False)``:
-pre-tokens are found with numpy over code points and looked up by hash; each
+pre-tokens are found with numpy over code points and looked up by their bytes; each
 word not seen before goes to the tokenizers library.  Texts with code points
 whose class is not the same in all Unicode versions, or with the string of an
 added token, go to the library as they are.
 
 Cases: a null text counts as empty and gives no ids; equal rows give equal
-results; other columns are dropped or clash-free by explicit selection.
+results; other columns are dropped, but for those named in ``keep``, whose names
+must differ from the result's; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, ragged, slices, span_hash, text_buffers
+from .common import binary_array, prefix_hash, ragged, settle, slices, span_hash, text_buffers
 
 VOCAB = "byte_bpe_50k.json"
 L, N, O, S, BAD = 0, 1, 2, 3, 4  # noqa: E741
-#: entries of the word table and ids of the chunk memo in one worker
-MAX_WORDS, MAX_MEMO_IDS = 1_500_000, 6_000_000
+#: words of the word table and ids of the chunk memo in one worker; both start anew beyond, which changes no result
+MAX_WORDS, MAX_MEMO_IDS = 400_000, 6_000_000
 CHUNK_MASK, CHUNK_WINDOW = 0x3FF, 16
 
 
@@ -85,44 +87,35 @@ class Encoder:
         self._clear()
 
     def _clear(self):
-        self.size = 1 << 22
-        self.keys, self.slot = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
-        self.n, self.at, self.len = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.entry: dict[bytes, int] = {}
+        self.at, self.len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.ids, self.n_ids = np.zeros(1 << 18, np.uint32), 0
 
     # ---- word table
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int32)
-        todo, at = np.arange(len(h)), (h & np.uint64(self.size - 1)).astype(np.int64)
-        while len(todo):
-            k = self.keys[at]
-            hit = k == h[todo]
-            out[todo[hit]] = self.slot[at[hit]]
-            on = ~hit & (k != 0)
-            todo, at = todo[on], (at[on] + 1) & (self.size - 1)
-        return out
-
-    def _add(self, h: np.ndarray, words: list[str]) -> None:
-        model, signs = self.tok.model, self.signs
-        got = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(signs))] for w in words]
+    def _add(self, words: list[bytes]) -> None:
+        model, signs, n = self.tok.model, self.signs, len(self.entry)
+        got = [[t.id for t in model.tokenize(w.decode("latin-1").translate(signs))] for w in words]
         lens = np.fromiter(map(len, got), np.int32, len(got))
         flat = np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum()))
-        while self.n + len(h) > len(self.at):
+        while n + len(words) > len(self.at):
             self.at, self.len = np.concatenate((self.at, np.zeros_like(self.at))), np.concatenate((self.len, np.zeros_like(self.len)))
         while self.n_ids + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.at[self.n : self.n + len(h)] = self.n_ids + np.concatenate(([0], np.cumsum(lens)))[:-1]
-        self.len[self.n : self.n + len(h)] = lens
-        entry = np.arange(self.n, self.n + len(h), dtype=np.int32)
-        self.n, self.n_ids = self.n + len(h), self.n_ids + len(flat)
-        at = (h & np.uint64(self.size - 1)).astype(np.int64)
-        while len(h):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[free]
-            mine = self.keys[at] == h
-            self.slot[at[mine]] = entry[mine]
-            h, entry, at = h[~mine], entry[~mine], (at[~mine] + 1) & (self.size - 1)
+        self.at[n : n + len(words)] = self.n_ids + np.concatenate(([0], np.cumsum(lens)))[:-1]
+        self.len[n : n + len(words)] = lens
+        self.entry.update(zip(words, range(n, n + len(words))))
+        self.n_ids += len(flat)
+
+    def _entries(self, words: pa.Array) -> np.ndarray:
+        """Place of each word in the table; words are compared by their bytes."""
+        if not len(words):
+            return np.zeros(0, np.int64)
+        d = words.dictionary_encode()
+        distinct, entry = d.dictionary.to_pylist(), self.entry
+        if new := [w for w in distinct if w not in entry]:
+            self._add(new)
+        return np.fromiter((entry[w] for w in distinct), np.int64, len(distinct))[d.indices.to_numpy()]
 
     # ---- encoding
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +130,7 @@ class Encoder:
         return flat, np.concatenate(([0], *ends)).astype(np.int64)
 
     def _slice(self, raw, offs):
-        if self.n > MAX_WORDS:
+        if len(self.entry) > MAX_WORDS:
             self._clear()
         data = raw.tobytes()
         cp = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
@@ -152,21 +145,17 @@ class Encoder:
                 at = data.find(content.encode(), at + 1)
         starts = self._pretokens(cp, k, co)
         ends = np.append(starts[1:], len(cp))
-        h = span_hash(prefix_hash(cp), starts, ends)
-        h[h == 0] = 1
+        head = np.flatnonzero((raw & 0xC0) != 0x80)
+        size = np.append(head, len(raw))[ends] - head[starts] if len(starts) else np.zeros(0, np.int64)
+        words = binary_array(raw, size)  # pre-tokens stand one after the other
         wo = np.searchsorted(starts, co)
         if bad.any():
             ok = np.ones(len(starts), bool)
             for b in np.flatnonzero(bad):
                 ok[wo[b] : wo[b + 1]] = False
-            starts, ends, h = starts[ok], ends[ok], h[ok]
+            starts, words = starts[ok], words.filter(pa.array(ok))
             wo = np.searchsorted(starts, co)
-        e = self._find(h)
-        if (miss := np.flatnonzero(e < 0)).size:
-            new, first = np.unique(h[miss], return_index=True)
-            text = cp.tobytes()
-            self._add(new, [text[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts[miss[first]], ends[miss[first]])])
-            e[miss] = self._find(h[miss])
+        e = self._entries(words)
         n = self.len[e].astype(np.int64)
         ids = self.ids[ragged(self.at[e], n)]
         io = np.concatenate(([0], np.cumsum(n)))[wo]
@@ -223,7 +212,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.enc = Encoder(path)
-        self.memo: dict[int, np.ndarray] = {}
+        self.memo: dict[bytes, np.ndarray] = {}
         self.held = 0
         self.seen = self.reused = 0
 
@@ -253,7 +242,8 @@ class ChunkEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         starts = self._chunks(raw, offs)
         ends = np.append(starts[1:], n)
-        keys = span_hash(prefix_hash(raw), starts, ends).tolist()
+        view = memoryview(raw.tobytes())
+        keys = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())]
         self.seen += len(keys)
         memo, new = self.memo, {}
         for x, k in enumerate(keys):
@@ -332,33 +322,36 @@ ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode_documents(docs: DataFrame, vocab: str | None = None, keep=(), id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Per row: id, ``n_tokens``, digests of the ids and of the decoded text; with ``with_ids`` also ``ids`` and ``decoded``."""
-    path = vocab or vocab_path()
-    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    """Per row: id, the columns ``keep``, ``n_tokens``, digests of the ids and of the decoded text; with ``with_ids`` also ``ids`` and ``decoded``."""
+    settle(docs.sparkSession)
+    path, kinds, own = vocab or vocab_path(), dict(docs.dtypes), [id_col, *[c for c in keep if c != id_col]]
+    made = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
+    if clash := {c.lower() for c in own} & set(made):
+        raise ValueError(f"{', '.join(sorted(clash))}: names of result columns")
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in own], "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids array<int>, decoded string"] * with_ids])
+    at = len(own)
 
     def run(batches):
         import pyarrow as pa
 
         enc = held(ChunkEncoder, path)
         for b in batches:
-            raw, offs = text_buffers(b.column(1))
+            raw, offs = text_buffers(b.column(at))
             for i, j in slices(offs, 4 << 20):
                 ids, io = enc.encode(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 rows = [ids[io[r] : io[r + 1]] for r in range(j - i)]
                 texts = [enc.enc.decode(x) for x in rows]
                 cols = [
-                    b.column(0).slice(i, j - i),
+                    *[b.column(c).slice(i, j - i) for c in range(at)],
                     pa.array(np.diff(io)),
                     pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in rows], pa.string()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
                 ]
-                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     cols += [pa.ListArray.from_arrays(pa.array(io, pa.int32()), pa.array(ids.astype(np.int32))), pa.array([t.decode() for t in texts], pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays(cols, names=[*own, *made])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(*own, F.col(text_col).alias("text_")).mapInArrow(run, schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

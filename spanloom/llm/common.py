@@ -1,8 +1,13 @@
 """Shared pieces of the training-data operators.
 
-* ``shared_dir`` / ``materialize``: lineage is cut by writing a table to the
-  folder the session names in ``spark.checkpoint.dir`` (set here only where it
-  is unset, as in tests), so a lost executor never loses it.
+* ``shared_dir`` / ``materialize`` / ``drop``: lineage is cut by writing a table
+  to the folder the session names in ``spark.checkpoint.dir`` (set here only where
+  it is unset and the master is this process, as in tests), so a lost executor
+  never loses it; tables that nothing reads any more are deleted.
+* ``settle``: batch sizes for rows that hold whole texts.
+* ``word_keys``: identity of words.  Equal words are found by their bytes, and
+  each gets 64 bits of a keyed cryptographic hash; the key is drawn anew for
+  every run, so no text can be made whose words or shingles collide.
 * numpy kernels over the raw bytes of an Arrow string column: word spans,
   word hashes, n-gram hashes.  All work on slices of a few MB, so memory does
   not follow the size of an Arrow batch.
@@ -10,6 +15,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -17,13 +23,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: rows are whole texts here: some KB each, some of them MB
+WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C55 | 1)
 _POW: dict[str, np.ndarray] = {}
 
 
 # ---------------------------------------------------------------- lineage
+def settle(spark) -> None:
+    """Smaller reader and Arrow batches, unless the session has sizes of its own."""
+    for key, value in WIDE_ROWS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark) -> str:
     """Folder that the driver and all executors see."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +47,8 @@ def shared_dir(spark) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spanloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -45,7 +62,18 @@ def materialize(df, name: str, **options):
     for k, v in options.items():
         writer = writer.option(k.replace("__", "."), v)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop(*tables) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def free_name(taken, want: str) -> str:
@@ -82,15 +110,16 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        with np.errstate(over="ignore"):
-            p = np.full(size, BASE, _U)
-            p[0] = 1
-            inv = np.full(size, _U(pow(int(BASE), -1, 1 << 64)), _U)
-            inv[0] = 1
-            _POW["p"], _POW["i"] = np.cumprod(p, dtype=_U), np.cumprod(inv, dtype=_U)
-    return _POW["p"], _POW["i"]
+    if "p" in _POW and len(_POW["p"]) >= n:
+        return _POW["p"], _POW["i"]
+    size = max(n, SLICE_BYTES + 1)
+    p, inv = np.full(size, BASE, _U), np.full(size, _U(pow(int(BASE), -1, 1 << 64)), _U)
+    p[0] = inv[0] = 1
+    np.cumprod(p, dtype=_U, out=p)
+    np.cumprod(inv, dtype=_U, out=inv)
+    if size <= 4 * SLICE_BYTES:  # a very long text's are not kept
+        _POW["p"], _POW["i"] = p, inv
+    return p, inv
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -163,3 +192,61 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out[0] = s[0]
     out[at] = s[1:] - (s[:-1] + n[:-1] - 1)
     return np.cumsum(out)
+
+
+# ---------------------------------------------------------------- identity of words
+MAX_KNOWN = 200_000
+_KNOWN: dict[bytes, dict[bytes, bytes]] = {}
+
+
+def binary_array(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Arrow strings of bytes that stand in ``data`` one after the other."""
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def keyed(words: pa.Array, key: bytes) -> np.ndarray:
+    """64 bits for each binary string: equal for equal strings, and by a hash with a secret key for others."""
+    if not len(words):
+        return np.zeros(0, _U)
+    d = words.dictionary_encode()
+    if key not in _KNOWN or len(_KNOWN[key]) > MAX_KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = {}
+    known, out = _KNOWN[key], []
+    for w in d.dictionary.to_pylist():
+        h = known.get(w)
+        if h is None:
+            h = hashlib.blake2b(w, digest_size=8, key=key).digest()
+            if len(w) <= 64:
+                known[w] = h
+        out.append(h)
+    return np.frombuffer(b"".join(out), _U)[d.indices.to_numpy()]
+
+
+def word_keys(raw: np.ndarray, offs: np.ndarray, is_word: np.ndarray, fold: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each word, row offsets into them); long texts go through window by window.
+
+    ``is_word`` marks the bytes of words by value, ``fold`` maps them to lower case.
+    """
+    keys, starts, a, n = [], [], 0, len(raw)
+    while a < n:
+        b = min(n, a + SLICE_BYTES)
+        if b < n:  # windows end where a word can't go on
+            gap = np.flatnonzero(~is_word[raw[a:b]])
+            if len(gap):
+                b = a + int(gap[-1]) + 1
+            else:
+                more = np.flatnonzero(~is_word[raw[b:]])
+                b = b + int(more[0]) + 1 if len(more) else n
+        part = raw[a:b]
+        mask = is_word[part]
+        inner = offs[np.searchsorted(offs, a, side="right") : np.searchsorted(offs, b)] - a
+        s, e, _ = word_spans(mask, np.concatenate(([0], inner, [b - a])))
+        keys.append(keyed(binary_array(fold[part[mask]], e - s), key))
+        starts.append(s + a)
+        a = b
+    if not keys:
+        return np.zeros(0, _U), np.zeros(len(offs), np.int64)
+    return np.concatenate(keys), np.searchsorted(np.concatenate(starts), offs)

@@ -113,3 +113,21 @@ def test_clashing_columns_and_ids(spark):
     docs = spark.createDataFrame([(1, "hi there", 5)], "doc_id long, text string, n_tokens long")
     row = bpe.encode_documents(docs, with_ids=True).first()
     assert row.decoded == "hi there" and row.n_tokens == len(row.ids)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_polynomial_hashes_confuse_get_their_own_ids(library, n):
+    one = "".join("b" if bin(k).count("1") % 2 else "a" for k in range(n))
+    texts = [one, one.translate({97: 98, 98: 97}), one + " x", one.translate({97: 98, 98: 97}) + " x"]
+    raw, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    for enc in (bpe.Encoder(PATH), bpe.ChunkEncoder(PATH)):
+        ids, at = enc.encode(raw, offs)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(library, t) for t in texts]
+
+
+def test_kept_columns_stand_beside_the_ids(spark, library):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, None)], "doc_id long, text string, lang string")
+    out = {r.doc_id: (r.lang, r.n_tokens, r.ids) for r in bpe.encode_documents(docs, keep=("lang",), with_ids=True).collect()}
+    assert out == {1: ("x", 2, ids_of(library, "a b")), 2: (None, 0, [])}
+    with pytest.raises(ValueError, match="n_tokens"):
+        bpe.encode_documents(docs.withColumn("n_tokens", docs.doc_id), keep=("n_tokens",))

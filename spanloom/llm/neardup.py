@@ -1,52 +1,62 @@
 """Near-duplicates by fast similarity sketching, banding and exact verification.
 
-A document's set is its distinct 5-word shingles.  The sketch has ``COORDS``
-coordinates: in round i every element is thrown into one bin (chosen by a hash
+A document's set is its distinct 5-word shingles.  The sketch has a fixed number
+of coordinates: in round i every element is thrown into one bin (chosen by a hash
 of element and round) with a value that grows with the round, and each
-coordinate keeps its smallest value.  The first COORDS rounds choose bins at
-random, the next COORDS rounds aim at one bin each, so every coordinate fills,
+coordinate keeps its smallest value.  The first rounds choose bins at random, the
+next, one for each coordinate, aim at one bin each, so every coordinate fills,
 and agreement concentrates around the Jaccard similarity like sampling does
 (Dahlgaard, Knudsen, Thorup: Fast similarity sketching, FOCS 2017).
 
-``BANDS`` bands of ``ROWS`` coordinates each are hashed to buckets.  At 0.85 a
-pair misses all buckets with probability (1 - 0.85**5)**32 < 1e-8.  Equal sets
-are one class first.  Then, round by round, each bucket names leaders, and every
-other member is compared with them on full sets: work per round is linear in a
-bucket's size.  The member that meets most others leads first.  Members that are
-connected already are not compared again.  Members that can only be linked
-through rare shingles (an exact bound) meet their partners through these and
-leave.  A bucket rests once its members are known to be connected or have led; no
-partner is ever dropped for being one of many, so a bucket of any size is searched
-exactly.
+Bands of ``ROWS`` coordinates each are hashed to buckets; there are as many
+(``bands_for``) as let a pair at the threshold miss all buckets with probability
+below ``MISS``.  Equal sets are one class first.  Then, round by round, each bucket
+names leaders, and every other member is compared with them on full sets.  The
+member that meets most others leads first.  Members that are connected already are
+not compared again.  Members that can only be linked through rare shingles (an
+exact bound) meet their partners through these and leave.  Leaders double each
+round, so rounds follow the logarithm of a bucket's size.  A bucket rests once its
+members are known to be connected or have led; no partner is ever dropped for being
+one of many, so a bucket of any size is searched exactly.
+
+Shingles are told apart by ``common.word_keys``: words by their bytes, and 64 bits
+of a hash whose secret key every run draws anew, so no text can be made to collide.
 
 Components: labels are passed along links and through labels of labels until
 nothing changes; every step is a join, nothing is collected.
 
 Cases: null or wordless texts have the empty set and no links; fewer than 5
-words are one shingle; repeated ids are one document id with the smallest row's
-set (ids are expected to be unique); an empty table gives an empty result.
+words are one shingle; a null id is in no class and keeps its row; ids are
+expected to be unique (rows of a repeated id follow their own sets each); an empty
+table gives an empty result; columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
+import secrets
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_MASK, materialize, mix, prefix_hash, slices, span_hash, text_buffers, word_spans
+from .common import LOWER, SPACE_MASK, drop, materialize, mix, settle, slices, text_buffers, word_keys
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 32, 5
-COORDS = BANDS * ROWS
+ROWS, MISS = 6, 1e-6
 LEADERS, PAIRS_PER_MEMBER, RARE = 3, 32, 64
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands_for(percent: int) -> int:
+    """Bands of ROWS coordinates with which a pair at the threshold is missed with probability below MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-min(0.999999, (percent / 100) ** ROWS)))
+
+
+def shingle_hashes(raw: np.ndarray, offs: np.ndarray, key: bytes = b"-") -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, row offsets into them), each row's sorted."""
-    starts, ends, rows = word_spans(~SPACE_MASK[raw], offs)
-    h = span_hash(prefix_hash(LOWER[raw]), starts, ends)
+    h, rows = word_keys(raw, offs, ~SPACE_MASK, LOWER, key)
     n = len(h)
     g = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
     for j in range(SHINGLE):
@@ -69,35 +79,37 @@ def shingle_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array(at, np.int64)
 
 
-def sketches(e: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows x COORDS) fast similarity sketches of ragged sets."""
+def sketches(e: np.ndarray, at: np.ndarray, coords: int) -> np.ndarray:
+    """(rows x coords) fast similarity sketches of ragged sets."""
     n = len(at) - 1
     row = np.repeat(np.arange(n), np.diff(at))
-    out = np.full(n * COORDS, np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(n * coords, np.iinfo(np.uint64).max, np.uint64)
     low = np.uint64((1 << 52) - 1)
-    for i in range(2 * COORDS):
+    for i in range(2 * coords):
         if not len(row):
             break
         h = mix(e ^ np.uint64((i + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF))
-        place = (h >> np.uint64(52)).astype(np.int64) * COORDS >> 12 if i < COORDS else i - COORDS
-        np.minimum.at(out, row * COORDS + place, (np.uint64(i) << np.uint64(52)) | (h & low) if i < 4096 else h)
+        place = (h >> np.uint64(52)).astype(np.int64) * coords >> 12 if i < coords else i - coords
+        np.minimum.at(out, row * coords + place, (np.uint64(i) << np.uint64(52)) | (h & low))
         if i < 8 or i % 8 == 0:
-            open_rows = (out.reshape(n, COORDS) == np.iinfo(np.uint64).max).any(1)
+            open_rows = (out.reshape(n, coords) == np.iinfo(np.uint64).max).any(1)
             still = open_rows[row]
             e, row = e[still], row[still]
-    return out.reshape(n, COORDS)
+    return out.reshape(n, coords)
 
 
 def band_hashes(sk: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(sk), BANDS), np.uint64)
-    parts = sk.reshape(len(sk), BANDS, ROWS)
+    bands = sk.shape[1] // ROWS
+    x = np.zeros((len(sk), bands), np.uint64)
+    parts = sk.reshape(len(sk), bands, ROWS)
     for j in range(ROWS):
         x = x * _G + mix(parts[:, :, j])
-    return mix(x + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    return mix(x + np.arange(bands, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
-def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SKETCH rows: set size, a 128-bit digest of the set, and its bands."""
+def sketch_table(docs: DataFrame, key: bytes, percent: int = PERCENT) -> DataFrame:
+    """SKETCH rows of (doc_id, text): set size, a 128-bit digest of the set, and its bands."""
+    bands = bands_for(percent)
 
     def run(batches):
         import pyarrow as pa
@@ -105,20 +117,20 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             raw, offs = text_buffers(b.column(1))
             for i, j in slices(offs):
-                e, at = shingle_hashes(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                e, at = shingle_hashes(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], key)
                 c1 = np.concatenate((np.zeros(1, np.uint64), np.cumsum(e, dtype=np.uint64)))
                 c2 = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(e ^ _G), dtype=np.uint64)))
-                bands = band_hashes(sketches(e, at)).astype(np.int64)
+                found = band_hashes(sketches(e, at, bands * ROWS)).astype(np.int64)
                 size = np.diff(at)
-                bo = np.concatenate(([0], np.cumsum(np.where(size > 0, BANDS, 0))))
-                lists = pa.ListArray.from_arrays(pa.array(bo, pa.int32()), pa.array(bands[size > 0].ravel()))
+                bo = np.concatenate(([0], np.cumsum(np.where(size > 0, bands, 0))))
+                lists = pa.ListArray.from_arrays(pa.array(bo, pa.int32()), pa.array(found[size > 0].ravel()))
                 cols = [b.column(0).slice(i, j - i), pa.array(size), pa.array((c1[at[1:]] - c1[at[:-1]]).astype(np.int64)), pa.array((c2[at[1:]] - c2[at[:-1]]).astype(np.int64)), lists]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SKETCH.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
 
-def set_table(docs: DataFrame) -> DataFrame:
+def set_table(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, shingles): full sets as sorted 64-bit hashes."""
 
     def run(batches):
@@ -127,7 +139,7 @@ def set_table(docs: DataFrame) -> DataFrame:
         for b in batches:
             raw, offs = text_buffers(b.column(1))
             for i, j in slices(offs):
-                e, at = shingle_hashes(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                e, at = shingle_hashes(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], key)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(e.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists], names=["doc_id", "shingles"])
 
@@ -154,22 +166,28 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         return labels
     now = materialize(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "labels")
     while True:
+        spent = now
         heard = both.join(now.select(F.col("node").alias("to"), F.col("label").alias("l")), "to").select("node", "l", F.lit(None).cast("long").alias("own"))
         nxt = heard.union(now.select("node", "label", "label")).groupBy("node").agg(F.min("l").alias("near"), F.max("own").alias("old"))
         up = now.select(F.col("node").alias("near"), F.col("label").alias("far"))
         nxt = materialize(nxt.join(up, "near", "left").select("node", F.least("near", "far").alias("label"), "old"), "labels")
         now = nxt.select("node", "label")
+        now._written_to = nxt._written_to
+        drop(spent)
         if nxt.where("label <> old").isEmpty():
             break
+    drop(both)
     if labels is None:
         return now
     moved = now.select(F.col("node").alias("label"), F.col("label").alias("l2"))
     kept = labels.join(moved, "label", "left").select("node", F.coalesce("l2", "label").alias("label"))
-    return materialize(kept.union(now.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+    out = materialize(kept.union(now.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+    drop(now, labels)
+    return out
 
 
-def rare_step(rest: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(labels, rest) with all links found that need a rare shingle, and without the members that need one.
+def rare_step(rest: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(labels, rest, tables to drop when rest is read) with all links found that need a rare shingle, and without the members that need one.
 
     A shingle is rare if at most RARE of the members have it.  A member with q
     rare ones among n meets a partner of size m that shares none of them in n - q
@@ -194,7 +212,7 @@ def rare_step(rest: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
     smallest = rest.groupBy("bucket").agg(F.min("n").alias("y"))
     stay = rest.select("bucket", "rep", "n").join(q, "rep", "left").join(smallest, "bucket")
     stay = stay.where((100 + percent) * (F.col("n") - F.coalesce("q", F.lit(0))) >= percent * (F.col("n") + F.col("y"))).select("bucket", "rep", "n")
-    return labels, several(labelled(stay, labels))
+    return labels, several(labelled(stay, labels)), [rare, q]
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,8 +222,10 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    settle(docs.sparkSession)
+    secret = secrets.token_bytes(16)
     docs = docs.select("doc_id", "text")
-    sketched = materialize(sketch_table(docs), "sketches")
+    sketched = materialize(sketch_table(docs, secret, percent), "sketches")
     key = ["n_shingles", "s1", "s2"]
     classes = materialize(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     buckets = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
@@ -213,36 +233,46 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = materialize(buckets.join(sizes, "bucket"), "buckets")
     # the members that meet most others lead first: originals stand nearer to all than copies of copies
     fame = materialize(buckets.groupBy("rep").agg(F.sum("size").alias("fame")), "members")
-    sets = materialize(set_table(docs.join(fame.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")), "sets")
+    sets = materialize(set_table(docs.join(fame.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), secret), "sets")
     famous = buckets.join(fame, "rep")
     led = famous.groupBy("bucket").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("a"))
-    active, labels, first = buckets.select("bucket", "rep", "n"), None, True
+    active, labels, shares = buckets.select("bucket", "rep", "n"), None, LEADERS
+    spent = [buckets, fame]
     while not active.isEmpty():
         pairs = active.join(led, "bucket").where("a <> rep") if labels is None else once(active, led)
         pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        labels = components(verified(pairs, sets, percent), labels)
+        first, labels = labels is None, components(verified(pairs, sets, percent), labels)
         # who has led is done; buckets go on while the rest is of several components
         rest = active.select("bucket", "rep", "n").join(led.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
         rest = materialize(several(labelled(rest, labels)), "active")
-        if rest.isEmpty():
-            break
-        if first:  # later rounds have members that need no rare shingles
-            labels, rest = rare_step(rest, sets, labels, percent)
-            rest, first = materialize(rest, "active"), False
+        drop(*spent)
+        spent = [rest]
+        if first and not rest.isEmpty():  # later rounds have members that need no rare shingles
+            labels, rest, used = rare_step(rest, sets, labels, percent)
+            rest = materialize(rest, "active")
+            drop(*used)
+            spent.append(rest)
         active = rest
-        led = materialize(leaders(active), "leaders")
+        if active.isEmpty():
+            break
+        led = materialize(leaders(active, shares), "leaders")
+        spent.append(led)
+        shares *= 2
+    drop(*spent, sets)
     of_class = classes.select(*key, "rep")
     if labels is not None:
         of_class = of_class.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
     else:
         of_class = of_class.withColumnRenamed("rep", "component_id")
-    out = sketched.select("doc_id", *key).join(of_class, key, "left")
+    # rows without a set need no partner; Spark splits the rest where copies crowd
+    rows = sketched.select("doc_id", *key)
+    out = rows.where("n_shingles > 0").join(of_class, key, "left").unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def once(active: DataFrame, led: DataFrame) -> DataFrame:
-    """Leaders and members of other components, in the first bucket that they share only (both sides' lists have BANDS entries at most)."""
+    """Leaders and members of other components, in the first bucket that they share only (both sides' lists have an entry for each band at most)."""
     mine = active.groupBy("rep").agg(F.collect_set("bucket").alias("mine"))
     leads = led.groupBy("a").agg(F.collect_set("bucket").alias("leads"))
     first = F.col("bucket") == F.array_min(F.array_intersect("mine", "leads"))
@@ -255,12 +285,12 @@ def several(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "bucket")
 
 
-def leaders(active: DataFrame) -> DataFrame:
+def leaders(active: DataFrame, shares: int = LEADERS) -> DataFrame:
     """(bucket, a, a_label): who leads next.
 
     All members outside a bucket's largest component, if that makes at most
     PAIRS_PER_MEMBER pairs a member overall, most of them met in several buckets (a link between components has an end
-    there, so this round is the last); else LEADERS of each bucket, of the rarest
+    there, so this round is the last); else ``shares`` of each bucket, of the rarest
     components among each share of them.
     """
     part = active.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.min("rep").alias("rep"))
@@ -268,7 +298,7 @@ def leaders(active: DataFrame) -> DataFrame:
     work = top.agg(F.sum((F.col("size") - F.col("top.k")) * F.col("size")).alias("pairs"), F.sum("size").alias("members")).first()
     if (work.pairs or 0) <= PAIRS_PER_MEMBER * (work.members or 0):
         return active.join(top.select("bucket", F.col("top.label").alias("largest")), "bucket").where("label <> largest").select("bucket", F.col("rep").alias("a"), F.col("label").alias("a_label"))
-    best = part.groupBy("bucket", F.pmod(F.xxhash64("label"), F.lit(LEADERS)).alias("share")).agg(F.min(F.struct("k", "rep", "label")).alias("x"))
+    best = part.groupBy("bucket", F.pmod(F.xxhash64("label"), F.lit(shares)).alias("share")).agg(F.min(F.struct("k", "rep", "label")).alias("x"))
     return best.select("bucket", F.col("x.rep").alias("a"), F.col("x.label").alias("a_label"))
 
 

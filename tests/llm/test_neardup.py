@@ -104,8 +104,39 @@ def test_sketch_coordinates_all_fill_and_agree_like_jaccard():
         b = np.concatenate((a[:k], rng.integers(1, 2**63, len(a) - k).astype(np.uint64)))
         true = k / (2 * len(a) - k)
         both = np.concatenate((a, b))
-        sk = neardup.sketches(both, np.array([0, len(a), len(both)]))
+        sk = neardup.sketches(both, np.array([0, len(a), len(both)]), 180)
         assert (sk != np.iinfo(np.uint64).max).all()
         assert abs((sk[0] == sk[1]).mean() - true) < 0.12
-    one = neardup.sketches(a[:1], np.array([0, 1]))
+    one = neardup.sketches(a[:1], np.array([0, 1]), 180)
     assert (one != np.iinfo(np.uint64).max).all()
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        rows += [(10 * k + 1, thue_morse(n) + " one two three four"), (10 * k + 2, thue_morse(n, "b", "a") + " one two three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(neardup.link_components(docs).collect()) == brute(rows)
+
+
+def test_long_texts_go_window_by_window(monkeypatch):
+    rng = random.Random(3)
+    texts = [prose(rng, 400), "x" * 900 + " y", "", "a b", " \n" * 300 + "tail" * 50, prose(rng, 3)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    whole = neardup.shingle_hashes(raw, offs, b"k")
+    for size in (7, 64, 500):
+        monkeypatch.setitem(neardup.word_keys.__globals__, "SLICE_BYTES", size)
+        for x, y in zip(whole, neardup.shingle_hashes(raw, offs, b"k")):
+            assert (x == y).all()
+    assert np.diff(whole[1]).tolist() == [len(shingles(t)) for t in texts]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_bands_follow_the_threshold(percent):
+    n = neardup.bands_for(percent)
+    assert (1 - min(0.999999, (percent / 100) ** neardup.ROWS)) ** n <= neardup.MISS * 1.001

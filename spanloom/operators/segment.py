@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ URL = rf"http://{_DOMAIN}[a-zA-Z0-9_=?/-]+"
 _EMAIL, _URL = re.compile(EMAIL), re.compile(URL)
 _CLITICS = {3: ("n't", "'re", "'ve", "'ll"), 2: ("'s", "'m", "'d")}
 _MARKUP = re.compile(r"(?:\s+|<[^>]*>)*")
+_BLOCK, _FIGURES = re.compile(r"(\S+)\s*"), re.compile(r"[0-9][0-9,]*")
 TOKEN = "doc_id {0}, seq int, start int, `end` int, token string, `case` string, intvalue long, type string"
 
 
@@ -69,30 +71,54 @@ def tokens_of(text: str, start: int = 0, end: int | None = None, whole_document:
         for m in pattern.finditer(text, start, end):
             special[m.start()], kind[m.start()] = m.end(), name
     at, last, first_block = max(start, _MARKUP.match(text, start, end).end()), "", True
+    for begin, stop, after in _blocks(text, at, end, special):
+        block, final = text[begin:stop], whole_document and after >= end
+        if final or special and any(begin <= k < stop for k in special):
+            parts = _parts(block, _cuts(block, begin, final, special))
+        else:
+            parts = _plain_block(block)
+        for s, e, word, upper, value in parts:
+            case, type_ = None, kind.get(begin + s)
+            if type_ is not None:
+                value = None
+            elif upper:
+                case = "forcedCap" if first_block or last in ("_", '"', "``", "`") else "cap"
+            yield begin + s, after if begin + e == stop else begin + e, word, case, value, type_
+            last = word
+        first_block = False
+
+
+def _blocks(text: str, at: int, end: int, special: dict[int, int]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, start of the next) of white-space blocks; an address with spaces in it is of one block."""
+    if not any(" " in text[a:b] for a, b in special.items()):
+        yield from ((m.start(), m.end(1), m.end()) for m in _BLOCK.finditer(text, at, end))
+        return
     while at < end:
-        begin = at
-        at = special.get(at, at + 1)
+        begin, at = at, special.get(at, at + 1)
         while at < end and not text[at].isspace():
             at = special.get(at, at + 1)
-        block, stop = text[begin:at], at
+        stop = at
         while at < end and text[at].isspace():
             at += 1
-        cut = _cuts(block, begin, whole_document and at >= end, special)
-        s = 0
-        for e in range(1, len(block) + 1):
-            if not cut[e]:
-                continue
+        yield begin, stop, at
+
+
+def _parts(block: str, cut: list[bool]) -> list[tuple[int, int, str, bool, int | None]]:
+    """(start, end, token, capitalized, value) of a block's tokens."""
+    out, s = [], 0
+    for e in range(1, len(block) + 1):
+        if cut[e]:
             word = block[s:e]
-            case = value = None
-            type_ = kind.get(begin + s)
-            if type_ is None:
-                if word[0].isupper():
-                    case = "forcedCap" if first_block or last in ("_", '"', "``", "`") else "cap"
-                elif re.fullmatch(r"[0-9][0-9,]*", word) and (int(word.split(",")[0]) > 0 or "," not in word):
-                    value = int(word.replace(",", ""))
-            yield begin + s, at if begin + e == stop else begin + e, word, case, value, type_
-            last, s = word, e
-        first_block = False
+            number = not word[0].isupper() and _FIGURES.fullmatch(word) and (int(word.split(",")[0]) > 0 or "," not in word)
+            out.append((s, e, word, word[0].isupper(), int(word.replace(",", "")) if number else None))
+            s = e
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def _plain_block(block: str) -> list[tuple[int, int, str, bool, int | None]]:
+    """Tokens of a block that is neither a text's last nor holds an address: the same wherever it stands."""
+    return _parts(block, _cuts(block, 0, False, {}))
 
 
 def tokenize(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -157,14 +183,19 @@ def pieces(docs: DataFrame, sep: str, type_: str, text: str = "text") -> DataFra
 
 
 # ---------------------------------------------------------------- SEG6
+#: Words whose period ends no sentence
 ABBREVIATIONS = frozenset(
     "Adj. Adm. Adv. Asst. Bart. Brig. Bros. Capt. Cmdr. Col. Comdr. Con. Cpl. Dr. Ens. Gen. Gov. Hon. Hosp. Insp. Lt. Maj. Messrs. Mlle. Mme. Mr. Mrs. Ms. Msgr. Prof. Pvt. Rep. Reps. Res. Rev. Rt. Sen. Sens. Sfc. Sgt. Sr. St. Supt. Surg. Alex. Benj. Chas. a.k.a. c.f. i.e. vs. v. e.g. U.S. U.N. D.C.".split()
 )
+_LOWER_ABBREVIATIONS = frozenset(a.lower() for a in ABBREVIATIONS)
 _OPENING = "`'\"([{<"
+_STOP, _STRONG_STOP = re.compile(r"[?!.]"), re.compile(r"[?!]$|[?!.][\"'}>)]$|[?!.]''$")
 
 
 def _sentence_ends(word: str, nxt: str, first: bool, monocase: bool) -> bool:
-    known = {a.lower() for a in ABBREVIATIONS} if monocase else ABBREVIATIONS
+    if not _STOP.search(word):
+        return False
+    known = _LOWER_ABBREVIATIONS if monocase else ABBREVIATIONS
     fold = (lambda w: w.lower()) if monocase else (lambda w: w)
     bare = [word] + ([word[1:]] if len(word) > 1 and word[0] in _OPENING else []) + ([word[2:]] if len(word) > 2 and word[:2] in ("''", "``") else [])
     if any(fold(w) in known for w in bare):
@@ -172,7 +203,7 @@ def _sentence_ends(word: str, nxt: str, first: bool, monocase: bool) -> bool:
     starts = nxt[0].isupper() or monocase or (nxt[0] in _OPENING and nxt[1:2].isupper()) or (nxt[:2] in ("``", "''") and nxt[2:3].isupper()) or nxt == "_" or nxt[0] == "<"
     if not starts:
         return False
-    if re.search(r"[?!]$|[?!.][\"'}>)]$|[?!.]''$", word):
+    if _STRONG_STOP.search(word):
         return True
     if not word.endswith("."):
         return False

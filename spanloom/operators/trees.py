@@ -7,6 +7,7 @@ that run in Arrow batches.  Edge sets are tables (doc_id, src, label, dst).
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -84,53 +85,85 @@ def detokenize(words: list[str]) -> tuple[str, list[tuple[int, int]]]:
 
 # ---------------------------------------------------------------- SRC26, PRS4
 def read_head_rules(text: str) -> dict[str, list[tuple[str, list[str]]]]:
-    """Lines ``CAT left-to-right|right-to-left LABEL ...``; several lines of one CAT are tried in order."""
+    """Lines ``CAT left-to-right|right-to-left LABEL ...`` (# starts a comment line); several lines of one CAT are tried in order."""
     rules: dict[str, list[tuple[str, list[str]]]] = {}
     for line in text.splitlines():
         w = line.split()
-        if len(w) >= 2:
+        if len(w) >= 2 and not line.startswith("#"):
             rules.setdefault(w[0], []).append((w[1], w[2:]))
     return rules
 
 
-_R, _L = "right-to-left", "left-to-right"
-HEAD_RULES = {
-    "S": [(_R, ["VP", "S", "SBAR", "ADJP", "UCP", "NP"])], "SINV": [(_R, ["VP", "S", "SINV", "ADJP", "NP"])], "SQ": [(_L, ["VBZ", "VBD", "VBP", "VB", "MD", "VP", "SQ"])], "SBARQ": [(_L, ["SQ", "S", "SINV"])],
-    "SBAR": [(_R, ["S", "SQ", "SINV", "SBAR", "FRAG", "IN", "DT"])], "VP": [(_L, ["VP", "VB", "VBZ", "VBP", "VBG", "VBN", "VBD", "MD", "TO", "ADJP", "NP", "S"])],
-    "PP": [(_L, ["IN", "TO", "FW", "VBG", "RP", "PP"])], "ADJP": [(_R, ["JJ", "JJR", "JJS", "VBN", "VBG", "ADJP", "QP", "NN"])], "ADVP": [(_R, ["RB", "RBR", "RBS", "FW", "ADVP", "IN"])],
-    "QP": [(_R, ["CD", "$", "NNS", "NN", "QP"])], "WHNP": [(_R, ["NN", "NNS", "WP", "WDT", "WP$", "WHNP"])], "WHPP": [(_L, ["IN", "TO"])], "PRT": [(_R, ["RP"])], "CONJP": [(_R, ["CC", "RB", "IN"])],
-}
-_NOUN = ("NN", "NNP", "NNPS", "NNS", "NX", "POS", "JJR")
+#: The published head table (S. Sekine, 1996), by category
+HEAD_TABLE = """
+ADJP     right-to-left  QP ADJP $ JJ JJR JJS DT FW CD RB RBR RBS RP
+ADVP     left-to-right  ADVP RB RBR RBS FW IN TO CD JJ JJR JJS
+CONJP    left-to-right  CC RB IN
+FRAG     left-to-right  FRAG
+INTJ     right-to-left  INTJ
+LST      left-to-right  LS
+NAC      right-to-left  NN NNS NP NNPS NNP NAC EX $ CD QP PRP VBG JJ JJS JJR ADJP FW
+NP       right-to-left  NP NN NNS NNP NNPS NAC EX $ CD QP PRP VBG JJ JJR JJS ADJP FW RB DT RBR RBS SYM PRP$
+NX       right-to-left  NX NP NN NNS NNP NNPS NAC EX $ CD QP PRP VBG JJ JJR JJS ADJP FW RB DT RBR RBS SYM PRP$
+PP       left-to-right  IN TO FW PP
+PRN      right-to-left  S NP SINV PP ADVP
+PRT      left-to-right  RP
+QP       right-to-left  CD NN NNS JJ JJR JJS RB RBR RBS DT $
+RRC      left-to-right  VP S NP ADVP ADJP PP
+S        right-to-left  VP S SBAR ADJP UCP SINV SBARQ SQ NP
+SBAR     right-to-left  SBAR IN WDT VP WHADVP WHADJP WHNP WHPP WP RBS DT S
+SBARQ    right-to-left  SQ S SINV SBARQ FRAG X
+SINV     right-to-left  VP VBZ VBD VBP VB MD SQ S SINV ADJP
+SQ       right-to-left  VP VBZ VBD VBP VB MD SQ
+TOP      left-to-right  S SBAR ADJP UCP SINV SBARQ SQ NP
+UCP      left-to-right  UCP
+VP       left-to-right  AUX AUXG VBN VBD MD VBZ VBP VP VB VBG
+WHADJP   right-to-left  WHADJP WHADVP WRB CC JJ ADJP
+WHADVP   left-to-right  WRB CC
+WHNP     right-to-left  WDT WP WP$ WHADJP WHPP WHNP WRB DT NP
+WHPP     left-to-right  IN TO FW PP
+X        left-to-right  X
+"""
+HEAD_RULES = read_head_rules(HEAD_TABLE)
+
 
+def head_of(label: str, kids: list[str], rules=HEAD_RULES, words: list[str | None] | None = None) -> int:
+    """Index of the head child, -1 if there are no children.
 
-def head_of(label: str, kids: list[str], rules=HEAD_RULES) -> int:
-    """Index of the head child; noun phrases have a rule of their own unless ``rules`` names one."""
+    A noun phrase has its last noun (NN..., NX, POS, JJR) for head, else its first
+    NP; otherwise the category's list decides, label by label in its direction,
+    then the first child in that direction that isn't punctuation.  A category
+    without a list has its first child.  ``words`` are those of children that are
+    terminals, None for others.
+    """
     if not kids:
         return -1
-    if label == "NP" and "NP" not in rules:
-        if kids[-1] == "POS" and len(kids) > 1:
-            return len(kids) - 1
-        for group, way in ((_NOUN, -1), (("NP",), 1), (("$", "ADJP", "PRN"), -1), (("CD",), -1), (("JJ", "JJS", "RB", "QP"), -1)):
-            order = range(len(kids)) if way > 0 else range(len(kids) - 1, -1, -1)
-            for i in order:
-                if kids[i] in group:
-                    return i
-        return len(kids) - 1
+    if label == "NP":
+        nouns = [i for i, k in enumerate(kids) if k.startswith("NN") or k in ("NX", "POS", "JJR")]
+        if nouns:
+            return nouns[-1]
+        if "NP" in kids:
+            return kids.index("NP")
     for way, wanted in rules.get(label, ()):
-        order = list(range(len(kids))) if way == _L else list(range(len(kids) - 1, -1, -1))
+        order = range(len(kids)) if way == "left-to-right" else range(len(kids) - 1, -1, -1)
         for w in wanted:
             for i in order:
                 if kids[i] == w:
                     return i
-        if not wanted:
-            return order[0]
-    return len(kids) - 1 if label in ("NP",) else 0
+    for way, _ in rules.get(label, ())[:1]:
+        order = range(len(kids)) if way == "left-to-right" else range(len(kids) - 1, -1, -1)
+        for i in order:
+            word = words[i] if words else None
+            if word is None or not all(unicodedata.category(c).startswith("P") for c in word):
+                return i
+        return order[0]
+    return 0
 
 
 def mark_heads(t: Tree, rules=HEAD_RULES) -> Tree:
     for c in t.children:
         mark_heads(c, rules)
-    t.head = head_of(t.label, [c.label for c in t.children], rules)
+    t.head = head_of(t.label, [c.label for c in t.children], rules, [c.word for c in t.children])
     return t
 
 

@@ -168,15 +168,28 @@ def stems(spark, sf):
     return lookup.stem(tokens, forms).select("token", "pos", "stem")
 
 
-PTB = "( (S (NP-SBJ (DT The) (NN company) (NN president)) (VP (VBD had) (NP (DT a) (JJ private) (NN plane))) (. .)) )"
+PTB = (
+    "( (S (NP-SBJ (DT The) (NN tower) (NN clock)) (VP (VBD struck) (NP (DT a) (JJ late) (NN hour))) (. .)) )",
+    "(S (NP (PRP She)) (VP (VBD said) (SBAR (IN that) (S (NP (NNS rains)) (VP (VBD fell))))) (. .))",
+    "(S (NP (PRP It)) (VP (VBD was) (VP (VBN seen))) (. .))",
+)
 
 
-@P.add("prs5_trees")
+@P.add("prs5_trees", """SELECT o_orderkey AS sent_id, w AS words, h AS heads FROM orders JOIN (VALUES
+(0, 'The tower clock struck a late hour .', '2,2,3,-1,6,6,3,3'), (1, 'She said that rains fell .', '1,-1,1,4,2,1'), (2, 'It was seen .', '1,-1,1,1')) t(k, w, h) ON o_orderkey % 3 = k""")
 def parse_trees(spark, sf):
-    """SRC12, PRS4-PRS7: heads and chunks of a tree per region."""
-    rows = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("sent_id"), F.lit(PTB).alias("ptb"))
+    """SRC12, PRS4-PRS5: heads of a tree per order, with nested clauses."""
+    rows = table(spark, sf, "orders", "o_orderkey").select(F.col("o_orderkey").alias("sent_id"), F.element_at(F.array(*map(F.lit, PTB)), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("ptb"))
     out = trees.parse_table(rows)
-    return out.select("sent_id", F.array_join("words", " ").alias("words"), F.array_join(F.transform("heads", lambda x: x.cast("string")), ",").alias("heads"), F.array_join("chunks", " ").alias("chunks"))
+    return out.select("sent_id", F.array_join("words", " ").alias("words"), F.array_join(F.transform("heads", lambda x: x.cast("string")), ",").alias("heads"))
+
+
+@P.add("prs6_tree_chunks", """SELECT n_nationkey AS sent_id, 'B-NP I-NP I-NP B-VP B-NP I-NP I-NP O' AS chunks FROM nation""")
+def tree_chunks(spark, sf):
+    """PRS6-PRS7: chunks of a tree per nation, the subject's name being the nation's."""
+    ptb = F.concat(F.lit("(S (NP-SBJ (DT The) (JJ old) (NNP "), F.regexp_replace("n_name", " ", "_"), F.lit(")) (VP (VBD struck) (NP (DT a) (JJ late) (NN hour))) (. .))"))
+    out = trees.parse_table(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("sent_id"), ptb.alias("ptb")))
+    return out.select(F.col("sent_id").cast("int").alias("sent_id"), F.array_join("chunks", " ").alias("chunks"))
 
 
 @P.add("src4_references", "SELECT p_partkey AS doc_id, CAST(1 AS BIGINT) AS ann_id, CAST(0 AS BIGINT) AS ref FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 1, NULL FROM part WHERE p_partkey % 2 = 1")

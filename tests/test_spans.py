@@ -15,10 +15,10 @@ from spanloom.streaming import sessions
 @pytest.mark.parametrize(
     "source, text, found",
     [
-        ("I <token>love</token> cats.", "I love cats.", [("token", 2, 6, {})]),
-        ('I <token a="b">love</token> cats.', "I love cats.", [("token", 2, 6, {"a": "b"})]),
-        ("I <quote/>love cats.", "I love cats.", [("quote", 2, 2, {})]),
-        ("I <>love < >cats.", "I <>love < >cats.", []),
+        ("We <w>read</w> maps.", "We read maps.", [("w", 3, 7, {})]),
+        ('We <w a="b">read</w> maps.', "We read maps.", [("w", 3, 7, {"a": "b"})]),
+        ("We <mark/>read maps.", "We read maps.", [("mark", 3, 3, {})]),
+        ("We <>read < >maps.", "We <>read < >maps.", []),
         ("<a>x<b>y</a>z</b>", "xyz", [("a", 0, 2, {}), ("b", 1, 3, {})]),
     ],
 )
@@ -79,11 +79,47 @@ def test_numbers(words, value, ordinal):
     assert [x[2:] for x in timex.numbers_of(list(segment.tokens_of(words)))] == [(value, ordinal)]
 
 
+RULE_FILE = """
+config: {sortByPatternLength: true}
+rules:
+  - {type: simple, pattern: harvest, params: {set_month: '9', format: yyyy-MM}}
+  - {type: simple, patterns: [(number) moons ago, (number) moons back], params: {diff: P(1)M, dir: minus, format: yyyy-MM}}
+  - {type: simple, pattern: (year) by (number), params: {value: (1)-(3)-01, format: yyyy-MM-dd}}
+"""
+
+
+def test_rule_files():
+    pytest.importorskip("yaml")
+    rules = timex.read_rules(RULE_FILE)
+    got = [t[2]["VAL"] for t in timex.timexes_of("harvest , two moons back , 2001 by 7", REF, rules=rules)]
+    assert got == ["2000-09", "2000-02", "2001-07-01"]
+    with pytest.raises(ValueError, match="script"):
+        timex.read_rules("rules: [{type: script, pattern: x}]")
+    scripted = timex.read_rules("rules: [{type: script, pattern: x}]", {"x": lambda t, v: {"VAL": "1"}})
+    assert timex.timexes_of("x y", REF, rules=scripted) == [(0, 1, {"VAL": "1"})]
+
+
 # ---------------------------------------------------------------- trees
-def test_heads_and_chunks():
-    tree = trees.read_trees("( (S (NP (DT The) (NN company) (NN president)) (VP (VBD had) (NP (DT a) (JJ private) (NN plane))) (. .)) )")[0]
-    assert trees.terminal_heads(tree) == [2, 2, 3, -1, 6, 6, 3, 3]
-    assert trees.tree_chunks(tree) == "B-NP I-NP I-NP B-VP B-NP I-NP I-NP O".split()
+@pytest.mark.parametrize(
+    "ptb, heads, chunks",
+    [
+        ("( (S (NP (DT The) (NN tower) (NN clock)) (VP (VBD struck) (NP (DT a) (JJ late) (NN hour))) (. .)) )", [2, 2, 3, -1, 6, 6, 3, 3], "B-NP I-NP I-NP B-VP B-NP I-NP I-NP O"),
+        ("(S (NP (PRP She)) (VP (VBD said) (SBAR (IN that) (S (NP (NNS rains)) (VP (VBD fell))))) (. .))", [1, -1, 1, 4, 2, 1], None),
+        ("(S (NP (PRP It)) (VP (VBD was) (VP (VBN seen))) (. .))", [1, -1, 1, 1], None),
+        ("(S (NP (NP (NNS maps)) (PP (IN of) (NP (NNP Rome)))) (VP (VBZ fade)))", [3, 0, 1, -1], None),
+    ],
+)
+def test_heads_and_chunks(ptb, heads, chunks):
+    tree = trees.read_trees(ptb)[0]
+    assert trees.terminal_heads(tree) == heads
+    assert chunks is None or trees.tree_chunks(tree) == chunks.split()
+
+
+def test_head_rules_from_text_and_without_a_list():
+    rules = trees.read_head_rules("# comment\nXP left-to-right B A")
+    assert trees.head_of("XP", ["A", "B", "B"], rules) == 1
+    assert trees.head_of("XP", [".", "C"], rules, [".", "c"]) == 1 and trees.head_of("XP", [".", ","], rules, [".", ","]) == 0
+    assert trees.head_of("QQ", ["A", "B"], rules) == 0 and trees.head_of("NP", ["NN", "POS", "PP"]) == 1 and trees.head_of("NP", ["DT", "NP", "NP"]) == 1
 
 
 def test_chart_parser_finds_both_readings():

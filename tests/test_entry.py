@@ -1,6 +1,9 @@
 """The driver's contract, and queries against their SQL on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -29,6 +32,16 @@ def test_every_sql_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(queries) and "p0_language_profile" in queries
 
 
+def test_entry_works_without_the_training_data_operators(tmp_path):
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    top = shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".hypothesis", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'p0_language_profile' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    for names in ((), ("corpus_pipeline.py",)):
+        for n in names:
+            (top / n).unlink()
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=top, check=True, env=os.environ | {"PYTHONPATH": str(top)})
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, name):

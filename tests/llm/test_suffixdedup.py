@@ -42,6 +42,33 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert sum(x[1] > 0 for x in want.values()) > 8
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_windows_of_hot_grams_meet_one_by_one(spark, seed, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(suffixdedup, "HOT", 5)
+    rng = random.Random(seed)
+    line = prose(rng, 14)
+    rows = [(rng.randrange(10**6), f"{prose(rng, rng.randint(1, 20))} {line} {prose(rng, 9)}") for _ in range(40)] + [(k, line * 2) for k in (7, 8, 9)]
+    docs = spark.createDataFrame(list(dict(rows).items()), "doc_id long, text string").repartition(3)
+    assert got(suffixdedup.dedup_spans(docs)) == brute(list(dict(rows).items()))
+
+
+@pytest.mark.parametrize("segment", [64, 200, 1000])
+def test_long_texts_go_segment_by_segment(monkeypatch, segment):
+    rng = random.Random(8)
+    texts = [prose(rng, 300).encode(), b"", b"a" * 49, b"ab" * 400, prose(rng, 9).encode()]
+    raw, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+
+    def windows():
+        gram, row, j0, n = suffixdedup.minimizers(raw, offs)
+        return sorted((int(r), int(p), int(g)) for g, r, j, k in zip(gram, row, j0, n) for p in range(j, j + k))
+
+    want = windows()
+    assert len(want) == sum(max(0, len(t) - 49) for t in texts)
+    monkeypatch.setattr(suffixdedup, "SEGMENT", segment)
+    assert windows() == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_shared_passages_repeats_and_small_blocks(spark, seed, monkeypatch):
     monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", 700)

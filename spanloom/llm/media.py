@@ -13,7 +13,9 @@ crosses the network in a join is a row per digest, never the payload.
 
 Cases: a null text or html counts as empty (payload: one padded row of 255s);
 equal payloads have one digest and equal values; an empty table gives an empty
-store; captions and positions do not change when a payload is missing.
+store; captions and positions do not change when a payload is missing; scripts,
+styles and comments are not read, a tag ends at the first ``>`` outside quotes, and
+one that the text's end cuts off counts for nothing; names that are taken get underscores.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_buffers
+from .common import free_name, materialize, settle, slices, text_buffers
+from .htmltext import tags
 
-ROW, PAD = 576, 255
+ROW, PAD, MAX_SEEN = 576, 255, 200_000
 _PNG = b"\x89PNG\r\n\x1a\n"
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 MEDIA = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -87,18 +90,26 @@ def feature_of(samples: np.ndarray) -> str:
 
 
 def store_payloads(df: DataFrame, raw_col: str = "text") -> DataFrame:
-    """Writes the payload of each row of ``raw_col`` (string or binary) to the store: (digest, media)."""
+    """Writes each different payload of ``raw_col`` (string or binary) to the store, once a task: (digest, media)."""
+    settle(df.sparkSession)
 
     def encode(batches):
         import pyarrow as pa
 
+        seen: set[bytes] = set()
         for b in batches:
             raw, offs = text_buffers(b.column(0))
             for i, j in slices(offs, 8 << 20):
                 digests, media = [], []
                 for r in range(i, j):
                     text = raw[offs[r] : offs[r + 1]].tobytes()
-                    digests.append(hashlib.sha256(text).hexdigest())
+                    digest = hashlib.sha256(text)
+                    if digest.digest() in seen:  # a copy that this task has stored
+                        continue
+                    if len(seen) >= MAX_SEEN:  # then some copies are stored again; the store's reader makes them one
+                        seen.clear()
+                    seen.add(digest.digest())
+                    digests.append(digest.hexdigest())
                     media.append(to_png(pad(text), len(text)))
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
 
@@ -127,8 +138,8 @@ def read_store(store: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sequences
-_PIECE = re.compile(r"<\s*(/?)\s*([a-zA-Z][a-zA-Z0-9]*)([^>]*)>")
-_SRC = re.compile(r"""\bsrc\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
+_SRC = re.compile(r"""(?<![^\s"'/])src\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _BLOCK = frozenset("p div figure figcaption h1 h2 h3 h4 h5 h6 li ul ol article section main body html blockquote td tr table header footer".split())
 
 
@@ -152,13 +163,19 @@ def sequence_of(html: str | None) -> list[dict]:
         else:
             out.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
-    at, html = 0, re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html or "")
-    for m in _PIECE.finditer(html):
-        parts.append(html[at : m.start()])
-        at, tag, close = m.end(), m[2].lower(), bool(m[1])
-        if tag == "img" and not close:
+    at, html = 0, html or ""
+    for start, end, close, tag, attributes in tags(html):
+        if start < at:  # inside a script or style
+            continue
+        parts.append(html[at:start])
+        at = end
+        if tag in ("script", "style") and not close:
+            m = _RAW_END[tag].search(html, end)
+            parts.append(" ")
+            at = m.end() if m else len(html)
+        elif tag == "img" and not close:
             flush()
-            src = _SRC.search(m[3])
+            src = _SRC.search(attributes)
             ref = unescape(next((g for g in src.groups() if g is not None), "")) if src else ""
             if figure is not None:
                 figure.append(len(out))
@@ -192,16 +209,25 @@ def interleave(pages: DataFrame, keep=("page_id",), html_col: str = "html") -> D
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
-    """One row per item of every sequence, with the media's columns where its digest is known."""
+    """One row per item of every sequence, with the media's columns where its digest is known.
+
+    ``media`` has one row a digest; write it before where copies crowd, so that Spark can split the join.
+    """
     keep = [c for c in sequences.columns if c != "sequence"]
-    items = sequences.select(*keep, F.explode("sequence").alias("x")).select(*keep, "x.*")
-    return items.join(media, "digest", "left")
+    taken, names = list(keep), {}
+    for c in ("position", "kind", "text", "digest", "caption", *[c for c in media.columns if c != "digest"]):
+        names[c] = free_name(taken, c)
+        taken.append(names[c])
+    items = sequences.select(*keep, F.explode("sequence").alias("x_")).select(*keep, *[F.col(f"x_.{c}").alias(names[c]) for c in ("position", "kind", "text", "digest", "caption")])
+    known = media.select(*[F.col(c).alias(names[c]) for c in media.columns])
+    joined = items.join(known, names["digest"], "left")
+    return joined.select(*keep, *names.values())
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a page of its own: a heading, and a figure whose payload is the whole text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    media = read_store(store_payloads(docs))
+    media = materialize(read_store(store_payloads(docs)), "media-rows")  # written, so that Spark can split the join where copies crowd
     figure = F.concat(F.lit("<article><h1>Document</h1><figure><img src=\"sha256:"), F.sha2(F.encode("text", "UTF-8"), 256), F.lit("\"><figcaption>Text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("</figcaption></figure></article>"))
     pages = docs.select("doc_id", figure.alias("html"))
     found = resolve(interleave(pages, ("doc_id",)), media).where(F.col("kind") == "media")

@@ -14,9 +14,10 @@ at most ``BLOCK_BYTES`` of text, documents stream past each block, nothing is
 shuffled and nothing about documents reaches the driver.
 
 Cases: a null or empty text has no words, no hits and no items; an item without
-words never occurs; repeated items and documents each count; ids of null are
-kept as rows (items with a null id are named by the empty string); ties between
-equal hashes take the leftmost, alike on both sides.
+words never occurs; items are told apart by id, so repeated rows of one id count
+once, and repeated documents each; ids of null are kept as rows (items with a null
+id are named by the empty string); ties between equal hashes take the leftmost,
+alike on both sides; names that are taken get underscores.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, materialize, mix, powers, prefix_hash, slices, span_hash, text_buffers, word_spans
+from .common import ALNUM_WORDS, free_name, materialize, mix, prefix_hash, settle, slices, span_hash, text_buffers, word_spans
 
 SPAN, K = 8, 4
 MIN_ITEMS = 2
@@ -173,14 +174,14 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with ``hit_words`` long, ``hit_spans`` array<struct<start,end>> of word positions and ``hit_items`` array<string>.
+    """``docs`` and, behind its columns, ``hit_words`` long, ``hit_spans`` array<struct<start,end>> of word positions and ``hit_items`` array<string>.
 
     All columns of ``docs`` stay; one pass over the documents for each block of the benchmark.
     """
+    settle(docs.sparkSession)
     base = docs.columns
-    out = docs.select("*", F.lit(0).cast("long").alias("hit_words"), F.array().cast("array<struct<start:int,end:int>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    if len({c.lower() for c in out.columns}) < len(out.columns):
-        raise ValueError("hit_words, hit_spans and hit_items are names of result columns")
+    words, spans, items = (free_name(base, c) for c in ("hit_words", "hit_spans", "hit_items"))
+    out = docs.select("*", F.lit(0).cast("long").alias(words), F.array().cast("array<struct<start:int,end:int>>").alias(spans), F.array().cast("array<string>").alias(items))
     blocks = list(_blocks(benchmark, item_col, item_text)) or [[]]
     at = base.index(text_col)
     for k, items in enumerate(blocks):
@@ -209,7 +210,7 @@ def _scanner(items, at):
                 for r, (s, x) in found.items():
                     old = [(v["start"], v["end"]) for v in spans[i + r]]
                     spans[i + r] = [{"start": a, "end": e} for a, e in _merge([*old, *s])]
-                    names[i + r] = names[i + r] + sorted(bench.names[y] for y in x)
+                    names[i + r] = sorted({*names[i + r], *(bench.names[y] for y in x)})
             n_words = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
             cols = [*[b.column(c) for c in range(b.num_columns - 3)], pa.array(n_words.astype(np.int64)), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)

@@ -58,11 +58,18 @@ def test_empty_tables_and_clashing_columns(spark):
     row = decontam.find_hits(docs, none).first()
     assert row.hit_words == 2 and row.hit_items == [] and row.item_id == "x"
     assert decontam.find_hits(docs.limit(0), none).count() == 0
-    with pytest.raises(ValueError, match="result columns"):
-        decontam.find_hits(docs.withColumnRenamed("item_id", "hit_words"), none)
+    assert decontam.find_hits(docs.withColumnRenamed("item_id", "hit_words"), none).columns == ["doc_id", "text", "hit_words", "hit_words_", "hit_spans", "hit_items"]
 
 
 def test_blocks_of_the_benchmark_add_up(spark, sf_dir, monkeypatch):
     whole = {r.doc_id: r for r in decontam.op1_decontamination(spark, sf_dir).collect()}
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 60)
     assert {r.doc_id: r for r in decontam.op1_decontamination(spark, sf_dir).collect()} == whole
+
+
+def test_repeated_items_count_once_and_names_may_clash(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, text, 7)], "doc_id long, text string, hit_words int")
+    items = spark.createDataFrame([(5, text), (5, text), (5, "w3 w4 w5")], "item_id long, text string")
+    r = decontam.find_hits(docs, items).first()
+    assert r.asDict() == {"doc_id": 1, "text": text, "hit_words": 7, "hit_words_": 20, "hit_spans": r.hit_spans, "hit_items": ["5"]}

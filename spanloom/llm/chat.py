@@ -6,8 +6,10 @@ list of the field paths it fills; each layout expands to the fingerprints of
 its required paths with every subset of its optional ones, and a record's
 fingerprint picks its layout with one ``CASE``.
 
-Cases: a null text is an empty text, a null role is the empty role; a record
-whose fingerprint no layout knows gets null turns (``layout`` is null), so
+Cases: a null text is an empty text, a null role is the empty role; a list fills
+a path if any of its turns does, or if it has none, so a record whose turns hold
+no text at all has another fingerprint; a conv_id of -1 in the data stands
+beside the planted one; a record whose fingerprint no layout knows gets null turns (``layout`` is null), so
 nothing is guessed; an empty table gives an empty table.  Columns that no
 layout names do not enter a fingerprint and stay untouched; result columns
 whose names are taken get underscores.
@@ -106,11 +108,21 @@ def field_paths(schema: T.StructType) -> dict[str, str]:
     return out
 
 
+def _filled(c: Column, kind: T.DataType, steps: list[str]) -> Column:
+    """Whether a nested field holds something: in lists, in any element (an empty list has its paths)."""
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce((F.size(c) == 0) | F.exists(c, lambda x: _filled(x, kind.elementType, steps)), F.lit(False))
+    if isinstance(kind, T.StructType) and steps:
+        return _filled(c[steps[0]], kind[steps[0]].dataType, steps[1:])
+    return c.isNotNull()
+
+
 def fingerprint(df: DataFrame, layouts=LAYOUTS) -> Column:
-    """Hash of the sorted paths (of those the layouts name) whose column is filled."""
+    """Hash of the sorted paths (of those the layouts name) that the record fills, each looked at down to its leaf."""
     named = {p for lay in layouts for p in (*lay.required, *lay.optional)}
     have = field_paths(df.schema)
-    filled = [F.when(F.col(f"`{have[p]}`").isNotNull(), F.lit(p)) for p in sorted(named & have.keys())]
+    steps = lambda p: p[len(have[p]) + 1 :].split(".") if p != have[p] else []
+    filled = [F.when(_filled(F.col(f"`{have[p]}`"), df.schema[have[p]].dataType, steps(p)), F.lit(p)) for p in sorted(named & have.keys())]
     return F.xxhash64(F.concat_ws("\n", *filled)) if filled else F.xxhash64(F.lit(""))
 
 

@@ -62,3 +62,12 @@ def test_layouts_by_fingerprint(spark):
     assert [tuple(t) for t in out[4].turns_] == [("user", "h"), ("assistant", "g")]
     assert out[5].turns_ is None and out[6].turns_ == [] and out[1].turns == "mine"
     assert chat.format_chat(spark.createDataFrame(rows, schema).limit(0)).count() == 0
+
+
+def test_fingerprints_look_at_the_leaves(spark):
+    kind = "id int, messages array<struct<role:string,content:string>>"
+    rows = [(1, [("user", "a"), ("assistant", None)]), (2, [("user", None)]), (3, []), (4, None), (5, [(None, "x")]), (6, [("user", "")])]
+    out = {r.id: (r.layout, r.turns and [tuple(t) for t in r.turns], r.fingerprint) for r in chat.canonical_turns(spark.createDataFrame(rows, kind)).collect()}
+    assert out[1][:2] == ("messages", [("user", "a"), ("assistant", "")]) and out[6][:2] == ("messages", [("user", "")])
+    assert all(out[k][0] is None and out[k][1] is None for k in (2, 4, 5)) and out[3][:2] == ("messages", [])
+    assert out[1][2] == out[6][2] == out[3][2] != out[2][2] and len({out[k][2] for k in (1, 2, 4, 5)}) == 4

@@ -7,7 +7,7 @@ texts give idf weights and, by a truncated SVD, a projection to ``RANK`` axes.
 Labelled vectors are broadcast (``labelled.MAX_ROWS`` x RANK floats whatever
 the data); each document takes exact cosine products with all of them, a block
 of documents at a time, and its ``NEIGHBOURS`` nearest vote with their
-similarity as weight.
+similarity to the power of ``SHARPNESS`` as weight (negative ones count as none).
 
 Cases: null and empty texts are a text without terms and take the share of
 label 1; without labels the score is 0; equal texts score alike; ties between
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import ALNUM_WORDS, free_name, mix, prefix_hash, slices, span_hash, text_buffers, word_spans
+from .common import ALNUM_WORDS, free_name, mix, prefix_hash, settle, slices, span_hash, text_buffers, word_spans
 
-TERMS, RANK, NEIGHBOURS, SEED = 1 << 13, 48, 15, 11
+TERMS, RANK, NEIGHBOURS, SHARPNESS, SEED = 1 << 13, 48, 15, 4, 11
 THRESHOLD, MOD, HELD_OUT = 0.3, 5, 0
 SHAPES = 8 * 16  # ids behind the hashed terms
 
@@ -125,7 +125,7 @@ class Model:
             # rounded, so that a text's place in a block doesn't show
             sim = np.round(x[i : i + block].astype(np.float64) @ vectors, 9)
             near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(sim, near, 1), 0) ** 4
+            w = np.maximum(np.take_along_axis(sim, near, 1), 0) ** SHARPNESS
             total = w.sum(1)
             out[i : i + block] = np.where(total > 0, (w * self.labels[near]).sum(1) / np.where(total > 0, total, 1), self.share)
         return np.round(np.clip(out, 0, 1), 9)
@@ -170,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a score column (0 to 1) behind its own."""
+    settle(docs.sparkSession)
     # MAX_ROWS x RANK and TERMS x RANK floats, whatever the data
     held = docs.sparkSession.sparkContext.broadcast((model.idf, model.basis, model.vectors, model.labels, model.share))
     at, out = docs.columns.index(text_col), free_name(docs.columns, name)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, held, vocab_path
-from .common import materialize, slices, text_buffers
+from .common import materialize, settle, slices, text_buffers
 
 DICT_BYTES, DICT_DOCS, DICT_IDS = 32 << 10, 1000, 512
 SHARD_BYTES = 4 << 20
@@ -70,7 +70,7 @@ def train_dictionary(docs: DataFrame, path: str, width: int, text_col: str = "te
     picked = docs.select(text_col).where(F.col(text_col).isNotNull())
     if n > 2 * DICT_DOCS:
         picked = picked.where(F.abs(F.xxhash64(text_col)) % F.lit(n) < F.lit(2 * DICT_DOCS))
-    sample = [bytes(r.ids) for r in picked.limit(DICT_DOCS).repartition(8).mapInArrow(heads, "ids binary").collect()]
+    sample = [bytes(r.ids) for r in picked.orderBy(F.xxhash64(text_col), text_col).limit(DICT_DOCS).repartition(8).mapInArrow(heads, "ids binary").collect()]
     try:
         return zstd.train_dictionary(DICT_BYTES, sample, k=256, d=8).as_bytes()
     except zstd.ZstdError:  # too few or too small samples: a raw-content dictionary
@@ -80,6 +80,7 @@ def train_dictionary(docs: DataFrame, path: str, width: int, text_col: str = "te
 def write_token_file(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(shards, dictionary) tables of a new token file."""
     spark, path = docs.sparkSession, vocab or vocab_path()
+    settle(spark)
     from tokenizers import Tokenizer
 
     width = _width(Tokenizer.from_file(path).get_vocab_size())

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import ALNUM_WORDS, free_name, prefix_hash, ragged, slices, span_hash, text_buffers, word_spans
+from .common import ALNUM_WORDS, free_name, prefix_hash, ragged, settle, slices, span_hash, text_buffers, word_spans
 
 BUCKETS, DIM, GRAMS = 1 << 19, 6, (3, 4, 5, 6)
 EPOCHS, BATCH, RATE, SEED, MIN_DF, MIN_STEPS, IDF_POWER = 12, 64, 2.0, 7, 3, 300, 2
@@ -133,6 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a score column (0 to 1) behind its own."""
+    settle(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))  # BUCKETS floats, whatever the data
     at, out = docs.columns.index(text_col), free_name(docs.columns, name)
 

@@ -1,12 +1,15 @@
 """Classifiers: held-out accuracy, hold-outs never read, odd tables."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
 from spanloom.llm import labelled, quality, toxicity
+from spanloom.llm.common import prefix_hash, span_hash
 
 from .conftest import prose
 
@@ -85,3 +88,40 @@ def test_clashing_columns_and_empty_tables(spark):
         out = module.with_scores(docs, model)
         assert out.columns == ["doc_id", "text", "score", "score_"] and out.count() == 2
         assert module.with_scores(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_query_equals_plain_averages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+
+    def bucket(b):
+        raw = np.frombuffer(b, np.uint8)
+        return int(span_hash(prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0]) % toxicity.BUCKETS
+
+    def plain(text):
+        found = []
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)})):
+            m = b"<" + w.encode() + b">"
+            found += [m] + [m[i : i + n] for n in toxicity.GRAMS for i in range(len(m) - n + 1)]
+        mean = sum(float(model.weight[bucket(b)]) for b in found) / max(1, len(found))
+        return 1 / (1 + math.exp(-(mean + model.bias)))
+
+    got = {r.doc_id: r.score for r in toxicity.op5_toxicity(spark, sf_dir).collect()}
+    for r in docs.collect():
+        if len(r.text or "") < 900:
+            assert abs(got[r.doc_id] - plain(r.text)) < 1e-6, r
+
+
+def test_quality_query_equals_sorting_all_cosines(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    got = {r.doc_id: r.score for r in quality.op9_quality(spark, sf_dir).collect()}
+    for r in docs.collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        x = model.project(raw, np.array([0, len(raw)]))[0]
+        sims = sorted(((round(float(np.dot(x.astype(float), v.astype(float))), 9), y) for v, y in zip(model.vectors, model.labels)), reverse=True)
+        if len(sims) > quality.NEIGHBOURS and sims[quality.NEIGHBOURS - 1][0] - sims[quality.NEIGHBOURS][0] < 1e-6:
+            continue  # neighbours that tie at the end of the list
+        near = [(max(s, 0) ** quality.SHARPNESS, y) for s, y in sims[: quality.NEIGHBOURS]]
+        total = sum(w for w, _ in near)
+        assert abs(got[r.doc_id] - (sum(w * y for w, y in near) / total if total else model.share)) < 1e-6, r

@@ -7,7 +7,8 @@ as Parquet before the next one reads it.  All but the last return the columns
 of ``documents``; the last returns a row per document that is left.
 
 Cases: rows with null texts or ids pass the filters (they hold nothing to
-reject); document ids are expected to be unique; empty tables stay empty.
+reject); document ids are expected to be unique; empty tables stay empty; other columns
+of ``documents``, whatever their names, pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, decontam, neardup, suffixdedup, toxicity
-from spanloom.llm.common import materialize
+from spanloom.llm.common import drop, materialize, settle
 
 #: similarity of 5-word shingles from which documents are near copies; op6 itself has its own
 NEAR_PERCENT = 80
@@ -31,6 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates, and all others."""
+    settle(spark)
     copies = neardup.link_components(docs, NEAR_PERCENT).where("NOT kept").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
@@ -47,7 +49,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold windows of fewer than two benchmark items."""
     hits = decontam.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return hits.where(F.size("hit_items") < decontam.MIN_ITEMS).select(*docs.columns)
+    return hits.where(F.size(hits.columns[-1]) < decontam.MIN_ITEMS).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +72,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name}")
+            drop(before)  # nothing reads it any more
     return docs

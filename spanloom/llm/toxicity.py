@@ -88,7 +88,9 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> Model:
         df[ids] += 1
     least = min(MIN_DF, max(1, len(rows) // 50))
     rare = (np.log(len(rows) / np.maximum(df, 1)) ** IDF_POWER).astype(np.float32)  # common subwords say little
-    bags = [(ids[k], w[k] * rare[ids[k]]) for ids, w in bags if (k := df[ids] >= least) is not None]
+    for i, (ids, w) in enumerate(bags):  # in place, as two lists of bags would be the driver's largest data
+        k = df[ids] >= least
+        bags[i] = ids[k], w[k] * rare[ids[k]]
     rng = np.random.default_rng(SEED)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)

@@ -202,6 +202,8 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.sparkContext.setCheckpointDir(top)
     path = f"{top.rstrip('/')}/spanloom/chains-{uuid.uuid4().hex}"
@@ -213,7 +215,7 @@ def chains_from_links(links: DataFrame) -> DataFrame:
     """REF12: (doc_id, mention, root) of (doc_id, mention, ref), following every chain to its end.
 
     Pointer doubling: every round halves what is left of a chain, until all roots
-    are reached (the reference stops after 100).  Mentions that refer to each
+    are reached.  Mentions that refer to each
     other in a circle have no root and get one of the circle's.
     """
     at_end = F.col("ref").isNull() | (F.col("ref") == F.col("mention"))

@@ -19,6 +19,7 @@ ones added, so a sentence is one ordered fold; documents run side by side.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -325,6 +326,12 @@ class Matcher:
         return new
 
 
+@lru_cache(maxsize=8)
+def _rules(text: str) -> Rules:
+    """Rules parsed once in a Python worker, not once a document."""
+    return Rules(text)
+
+
 def apply_patterns(tokens: DataFrame, rules_text: str, set_name: str, annotations: DataFrame | None = None) -> DataFrame:
     """PAT1: new annotations of a rule set per document.
 
@@ -339,7 +346,7 @@ def apply_patterns(tokens: DataFrame, rules_text: str, set_name: str, annotation
     def run(g):
         import pandas as pd
 
-        matcher = Matcher(Rules(rules_text))
+        matcher = Matcher(_rules(rules_text))
         g = g.sort_values(["start", "end"], kind="stable")
         toks = [(int(r.start), int(r.end), dict(r.attrs)["string"]) for r in g.itertuples() if r.type == "token"]
         text = [" "] * max((e for _, e, _ in toks), default=0)

@@ -12,12 +12,12 @@ P = Plans()
 _WORDS = r"SELECT doc_id, lang, unnest(w) AS token, unnest(range(len(w))) AS seq FROM (SELECT doc_id, lang, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\x0B]+'), lambda x: x <> '') AS w FROM documents)"
 
 
-@P.add("seq6_emission_logprob", f"""WITH n AS (SELECT lang AS state, lower(left(token, 1)) AS token, count(*) AS n FROM ({_WORDS}) WHERE lang IS NOT NULL GROUP BY ALL)
+@P.add("seq6_emission_logprob", f"""WITH n AS (SELECT lang AS state, token, count(*) AS n FROM ({_WORDS}) WHERE lang IS NOT NULL GROUP BY ALL)
 SELECT state, token, n, round(ln(n / sum(n) OVER (PARTITION BY state)), 9) AS logp FROM n""")
 def emissions(spark, sf):
-    """SEQ5/SEQ6: log probabilities of tokens given states (languages stand for states, first letters for tokens)."""
+    """SEQ5/SEQ6: log probabilities of tokens given states (languages stand for states)."""
     docs = table(spark, sf, "documents", "lang", "text").where("lang IS NOT NULL")
-    tagged = docs.select(F.col("lang").alias("tag"), F.explode(segment.word_array(F.col("text"))).alias("w")).select("tag", F.lower(F.substring("w", 1, 1)).alias("token"))
+    tagged = docs.select(F.col("lang").alias("tag"), F.explode(segment.word_array(F.col("text"))).alias("w")).select("tag", F.col("w").alias("token"))
     return sequence.emission_counts(tagged).select("state", "token", "n", F.round("logp", 9).alias("logp"))
 
 
@@ -31,12 +31,12 @@ def transitions(spark, sf):
 
 
 @P.add("seq6_bigram_logprob", f"""WITH w AS (SELECT doc_id, seq, token, lag(token) OVER (PARTITION BY doc_id ORDER BY seq) AS prev FROM ({_WORDS})),
-n AS (SELECT left(prev, 1) AS prev, left(token, 1) AS token, count(*) AS n FROM w WHERE prev IS NOT NULL GROUP BY ALL)
+n AS (SELECT prev, token, count(*) AS n FROM w WHERE prev IS NOT NULL GROUP BY ALL)
 SELECT prev, token, n, round(ln(n / sum(n) OVER (PARTITION BY prev)), 9) AS logp FROM n""")
 def bigrams(spark, sf):
-    """SEQ5: bigrams of first letters.  Neighbours are read inside a row's word array: no window, no shuffle before the counts."""
+    """SEQ5: bigrams of words.  Neighbours are read inside a row's word array: no window, no shuffle before the counts."""
     w = segment.word_array(F.col("text"))
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.struct(F.substring(a, 1, 1).alias("prev"), F.substring(b, 1, 1).alias("token")))
+    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a.alias("prev"), b.alias("token")))
     n = table(spark, sf, "documents", "text").select(F.explode(pairs).alias("x")).select("x.*").groupBy("prev", "token").agg(F.count("*").alias("n"))
     total = n.groupBy("prev").agg(F.sum("n").alias("total"))
     return n.join(total, "prev").select("prev", "token", "n", F.round(F.log(F.col("n") / F.col("total")), 9).alias("logp"))

@@ -247,5 +247,5 @@ def test_title_case_of_all_texts_equals_brute_force(spark, tmp_path):
         for line in (text or "").split("\n"):
             a, b = want.get(lang, (0, 0))
             want[lang] = (a + title(line), b + 1)
-    got = {r.lang: (r.titles, r.lines) for r in registry.QUERIES["seg12_title_case_all"](spark, str(tmp_path)).collect()}
+    got = {r.lang: (r.titles, r.lines) for r in registry.QUERIES["seg12_title_case"](spark, str(tmp_path)).collect()}
     assert got == want and want["ru"] == (1, 2) and want["de"] == (2, 3)

@@ -151,3 +151,22 @@ def name_history_class(name: Column, priors: Column) -> Column:
 def event_lines(events: DataFrame) -> DataFrame:
     """AGG17: one line per event mention: its text, line ends as spaces, and its subtype."""
     return events.select(F.concat_ws("_", F.regexp_replace("text", r"[\r\n]", " "), "subtype").alias("line"))
+
+
+def score_events(response: DataFrame, key: DataFrame, response_arguments: DataFrame, key_arguments: DataFrame) -> DataFrame:
+    """AGG10: one row of counts of correct, mistyped, spurious and missing events, and of arguments of the correct ones.
+
+    Events (doc_id, start, end, subtype) meet by anchor, of equal anchors one
+    counts; arguments (doc_id, start, end, role, value) by anchor, role and value.
+    """
+    span, whole = ["doc_id", "start", "end"], ["doc_id", "start", "end", "role", "value"]
+    one = lambda df, name: df.groupBy(*span).agg(F.min("subtype").alias(name))
+    both = one(response, "r").join(one(key, "k"), span, "full_outer")
+    n = lambda c: F.count(F.when(c, 1))
+    r, k = F.col("r"), F.col("k")
+    events = both.agg(n(r == k).alias("events_correct"), n(r != k).alias("events_mistyped"), n(k.isNull()).alias("events_spurious"), n(r.isNull()).alias("events_missing"))
+    side = lambda df, name: df.select(*whole, F.lit(True).alias(name))
+    args = side(response_arguments, "ra").unionByName(side(key_arguments, "ka"), allowMissingColumns=True).join(both.where(r == k).select(*span), span, "left_semi")
+    args = args.groupBy(*whole).agg(F.max("ra").alias("ra"), F.max("ka").alias("ka"))
+    a = args.agg(n(F.col("ra") & F.col("ka")).alias("arguments_correct"), n(F.col("ka").isNull()).alias("arguments_spurious"), n(F.col("ra").isNull()).alias("arguments_missing"))
+    return events.withColumn("_", F.lit(0)).join(a.withColumn("_", F.lit(0)), "_").drop("_")

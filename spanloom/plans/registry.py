@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import fixtures, more, scores, sequences, spans, texts
+from . import fixtures, mentions, more, scores, sequences, spans, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (texts, spans, scores, sequences, fixtures, more):
+for _m in (texts, spans, scores, sequences, fixtures, more, mentions):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

@@ -2,8 +2,8 @@
 
 Dimension tables are joined; Spark broadcasts them while their size is under
 ``spark.sql.autoBroadcastJoinThreshold`` and shuffles them beyond.  Only greedy
-longest match, where one decision moves the next, runs as a function over a
-document's tokens.
+longest match, where one decision moves the next, runs as a function over the
+tokens of documents, which stream past in order.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import record_batches, slices
+from .segment import tokens_of
+
 
 def phrase_trie(entries: dict[str, list[str]], fold: bool = False) -> dict:
     """DIC1/DIC3: word trie of phrases; ``""`` holds a phrase's classes."""
@@ -45,27 +48,68 @@ def longest_matches(words: list[str], trie: dict, fold: Callable[[int], bool] |
     return out
 
 
-def annotate_phrases(tokens: DataFrame, entries: DataFrame, phrase: str = "phrase", classes: str = "class", fold: bool = False, max_entries: int = 2_000_000) -> DataFrame:
-    """DIC1/DIC3: spans of dictionary phrases over ``tokens`` (doc_id, seq, start, end, token).
-
-    The dictionary is checked against ``max_entries`` before it is sent to the
-    executors; beyond it, use ``phrase_join``.
-    """
+def _dictionary(entries: DataFrame, phrase: str, classes: str, fold: bool, max_entries: int) -> dict:
+    """Trie of a dictionary, whose size is checked before it is sent to the executors."""
     if entries.count() > max_entries:
         raise ValueError("dictionary too large to broadcast; use phrase_join")
     table: dict[str, list[str]] = {}
     for r in entries.select(phrase, classes).collect():
         table.setdefault(r[0], []).append(r[1])
-    trie, kind = phrase_trie(table, fold), dict(tokens.dtypes)["doc_id"]
+    return phrase_trie(table, fold)
+
+
+def _hits(doc, rows: list[tuple], trie: dict, fold: bool):
+    """Spans of phrases in a document's tokens (start, end, token)."""
+    for a, b, cs in longest_matches([r[2] for r in rows], trie, fold):
+        for c in cs:
+            yield doc, rows[a][0], rows[b - 1][1], c
+
+
+def annotate_phrases(tokens: DataFrame, entries: DataFrame, phrase: str = "phrase", classes: str = "class", fold: bool = False, max_entries: int = 2_000_000) -> DataFrame:
+    """DIC1/DIC3: spans of dictionary phrases over ``tokens`` (doc_id, seq, start, end, token).
+
+    Tokens of a document come to one task, sorted, and stream past: a task holds
+    one document at a time.  The dictionary is checked against ``max_entries``
+    before it is sent to the executors; beyond it, use ``phrase_join``.  Texts that
+    are still whole go through ``annotate_texts``, without a shuffle.
+    """
+    trie, kind = _dictionary(entries, phrase, classes, fold, max_entries), dict(tokens.dtypes)["doc_id"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = [None, pa.int32(), pa.int32(), pa.string()]
+
+        def found():
+            doc, rows = None, []
+            for b in slices(batches):
+                types[0] = b.schema.field(0).type
+                for d, *row in zip(*[b.column(i).to_pylist() for i in range(4)]):
+                    if rows and d != doc:
+                        yield from _hits(doc, rows, trie, fold)
+                        rows = []
+                    doc = d
+                    rows.append(row)
+            yield from _hits(doc, rows, trie, fold)
+
+        yield from record_batches(found(), types, ["doc_id", "start", "end", "class"])
+
+    rows = tokens.repartition("doc_id").sortWithinPartitions("doc_id", "seq").select("doc_id", "start", "end", "token")
+    return rows.mapInArrow(run, f"doc_id {kind}, start int, `end` int, class string")
+
+
+def annotate_texts(docs: DataFrame, entries: DataFrame, text: str = "text", phrase: str = "phrase", classes: str = "class", fold: bool = False, max_entries: int = 2_000_000) -> DataFrame:
+    """DIC1/DIC3: ``annotate_phrases`` over the linguistic tokens of whole texts, in one pass: tokens never leave their document."""
+    trie, kind = _dictionary(entries, phrase, classes, fold, max_entries), dict(docs.dtypes)["doc_id"]
 
-    def run(group):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        g = group.sort_values("seq")
-        hits = longest_matches(g["token"].tolist(), trie, fold)
-        return pd.DataFrame([(g["doc_id"].iloc[0], int(g["start"].iloc[a]), int(g["end"].iloc[b - 1]), c) for a, b, cs in hits for c in cs], columns=["doc_id", "start", "end", "class"])
+        for b in slices(batches):
+            rows = (r for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in _hits(d, [t[:3] for t in tokens_of(x or "")], trie, fold))
+            yield from record_batches(rows, [b.schema.field(0).type, pa.int32(), pa.int32(), pa.string()], ["doc_id", "start", "end", "class"])
 
-    return tokens.groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, start int, `end` int, class string")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, start int, `end` int, class string")
 
 
 def phrase_join(grams: DataFrame, entries: DataFrame, phrase: str = "phrase") -> DataFrame:

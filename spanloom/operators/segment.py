@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..arrow import record_batches, slices
+
 _USER, _DOMAIN = r"[a-zA-Z0-9_.-]+", r"(?:[a-zA-Z0-9-]+\.)+[a-zA-Z0-9]+"
 EMAIL = rf"{_USER}(?: ?\.\.\. ?)?@{_DOMAIN}"
 URL = rf"http://{_DOMAIN}[a-zA-Z0-9_=?/-]+"
@@ -128,13 +130,10 @@ def tokenize(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            rows = [(d, k, *t) for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, t in enumerate(tokens_of(x or ""))]
-            types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            names = ["doc_id", "seq", "start", "end", "token", "case", "intvalue", "type"]
-            for i in range(0, max(1, len(rows)), 50_000):
-                part = rows[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate(types)], names=names)
+        names = ["doc_id", "seq", "start", "end", "token", "case", "intvalue", "type"]
+        for b in slices(batches):
+            rows = ((d, k, *t) for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, t in enumerate(tokens_of(x or "")))
+            yield from record_batches(rows, [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()], names)
 
     return docs.select("doc_id", text).mapInArrow(run, TOKEN.format(kind))
 

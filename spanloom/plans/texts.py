@@ -207,7 +207,7 @@ def phrases(spark, sf):
     """DIC1/DIC3: greedy longest phrases of a small dictionary (the commonest word pairs' own words) over documents."""
     docs = table(spark, sf, "documents", "doc_id", "text")
     entries = spark.createDataFrame([("of the", "P"), ("of the thin", "Q"), ("and", "C"), ("in the", "P"), ("the", "D")], "phrase string, class string")
-    return lookup.annotate_phrases(segment.tokenize(docs), entries).groupBy("class").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("docs"))
+    return lookup.annotate_texts(docs, entries).groupBy("class").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("docs"))
 
 
 @P.add(

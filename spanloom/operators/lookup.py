@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..arrow import record_batches, slices
+from ..arrow import groups, in_order, key_type, record_batches, slices
 from .segment import tokens_of
 
 
@@ -73,28 +73,15 @@ def annotate_phrases(tokens: DataFrame, entries: DataFrame, phrase: str = "phras
     before it is sent to the executors; beyond it, use ``phrase_join``.  Texts that
     are still whole go through ``annotate_texts``, without a shuffle.
     """
-    trie, kind = _dictionary(entries, phrase, classes, fold, max_entries), dict(tokens.dtypes)["doc_id"]
+    trie, kind, like = _dictionary(entries, phrase, classes, fold, max_entries), dict(tokens.dtypes)["doc_id"], key_type(tokens)
 
     def run(batches):
         import pyarrow as pa
 
-        types = [None, pa.int32(), pa.int32(), pa.string()]
+        rows = (h for d, x in groups(batches) for h in _hits(d, x, trie, fold))
+        yield from record_batches(rows, [like, pa.int32(), pa.int32(), pa.string()], ["doc_id", "start", "end", "class"])
 
-        def found():
-            doc, rows = None, []
-            for b in slices(batches):
-                types[0] = b.schema.field(0).type
-                for d, *row in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                    if rows and d != doc:
-                        yield from _hits(doc, rows, trie, fold)
-                        rows = []
-                    doc = d
-                    rows.append(row)
-            yield from _hits(doc, rows, trie, fold)
-
-        yield from record_batches(found(), types, ["doc_id", "start", "end", "class"])
-
-    rows = tokens.repartition("doc_id").sortWithinPartitions("doc_id", "seq").select("doc_id", "start", "end", "token")
+    rows = in_order(tokens, "doc_id", "seq").select("doc_id", "start", "end", "token")
     return rows.mapInArrow(run, f"doc_id {kind}, start int, `end` int, class string")
 
 

@@ -167,7 +167,7 @@ def pieces(docs: DataFrame, sep: str, type_: str, text: str = "text") -> DataFra
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for b in batches:
+        for b in slices(batches):
             parts = pc.split_pattern(pc.fill_null(b.column(1), ""), sep)
             flat, at = parts.flatten(), parts.offsets.to_numpy()
             n = pc.utf8_length(flat).to_numpy().astype(np.int64)
@@ -176,7 +176,7 @@ def pieces(docs: DataFrame, sep: str, type_: str, text: str = "text") -> DataFra
             base = np.concatenate(([0], ends))[at[:-1]][row]
             e = ends - 1 - base
             ids = pc.take(b.column(0), pa.array(row))
-            yield pa.RecordBatch.from_arrays([ids, pa.array((np.arange(len(row)) - at[row]).astype(np.int32)), pa.array([type_] * len(row), pa.string()), pa.array((e - n).astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "seq", "type", "start", "end"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array((np.arange(len(row)) - at[row]).astype(np.int32)), pa.repeat(type_, len(row)), pa.array((e - n).astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "seq", "type", "start", "end"])
 
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, seq int, type string, start int, `end` int")
 
@@ -245,10 +245,9 @@ def sentences(docs: DataFrame, text: str = "text", monocase: str | None = None,
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            rows = [(d, k, s, e) for d, x, m, v in zip(*[b.column(i).to_pylist() for i in range(4)]) for k, (s, e) in enumerate(sentences_of(x or "", dividers=tuple(v or ()), monocase=bool(m)))]
-            types = [b.schema.field(0).type, *[pa.int32()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=["doc_id", "seq", "start", "end"])
+        for b in slices(batches):
+            rows = ((d, k, s, e) for d, x, m, v in zip(*[b.column(i).to_pylist() for i in range(4)]) for k, (s, e) in enumerate(sentences_of(x or "", dividers=tuple(v or ()), monocase=bool(m))))
+            yield from record_batches(rows, [b.schema.field(0).type, *[pa.int32()] * 3], ["doc_id", "seq", "start", "end"])
 
     return docs.select("doc_id", F.col(text).alias("t"), mono.alias("m"), div.alias("v")).mapInArrow(run, f"doc_id {kind}, seq int, start int, `end` int")
 

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..arrow import slices
+from .segment import word_array
+
 START, END = "start", "end"
 NEVER = -math.inf
 
@@ -38,6 +41,13 @@ def transition_counts(tagged: DataFrame, sentence: list[str], order: str = "seq"
     return n.join(total, "source").select("source", "target", "n", F.log(F.col("n") / F.col("total")).alias("logp"))
 
 
+def bigram_counts(documents: DataFrame, text: str = "text") -> DataFrame:
+    """SEQ5: (prev, token, n) of neighbouring white-space words; words are split once a text."""
+    words = documents.select(word_array(F.col(text)).alias("w")).where(F.size("w") > 1)
+    at = words.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("i"))
+    return at.select(F.get("w", F.col("i")).alias("prev"), F.get("w", F.col("i") + 1).alias("token")).groupBy("prev", "token").agg(F.count("*").alias("n"))
+
+
 def merge_counts(*tables: DataFrame) -> DataFrame:
     """HMM4: counts of a trained model and of a name list added up."""
     out = tables[0].select("state", "token", "n")
@@ -146,7 +156,7 @@ def decode(sentences: DataFrame, model: Hmm, n: int = 1) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for d, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 paths = model.nbest(w or [], max(n, 2))
@@ -289,8 +299,11 @@ def read_gis(lines: Iterable[str]) -> MaxEnt:
 
 
 def softmax_scores(events: DataFrame, weights: DataFrame) -> DataFrame:
-    """SEQ17 as joins: (event_id, outcome, p) of (event_id, features array) and (feature, outcome, weight)."""
-    z = events.select("event_id", F.explode("features").alias("feature")).join(weights, "feature").groupBy("event_id", "outcome").agg(F.sum("weight").alias("z"))
+    """SEQ17 as joins: (event_id, outcome, p) of (event_id, features array) and (feature, outcome, weight).
+
+    Weights are a model and broadcast: joined by a shuffle, all rows of a feature would meet in one task.
+    """
+    z = events.select("event_id", F.explode("features").alias("feature")).join(F.broadcast(weights), "feature").groupBy("event_id", "outcome").agg(F.sum("weight").alias("z"))
     w = W.partitionBy("event_id")
     e = z.withColumn("e", F.exp(F.col("z") - F.max("z").over(w)))
     return e.select("event_id", "outcome", (F.col("e") / F.sum("e").over(w)).alias("p"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import segment, sequence
+from ..tasks import spread
 from .tables import Plans, table
 
 P = Plans()
@@ -35,9 +36,7 @@ n AS (SELECT prev, token, count(*) AS n FROM w WHERE prev IS NOT NULL GROUP BY A
 SELECT prev, token, n, round(ln(n / sum(n) OVER (PARTITION BY prev)), 9) AS logp FROM n""")
 def bigrams(spark, sf):
     """SEQ5: bigrams of words.  Neighbours are read inside a row's word array: no window, no shuffle before the counts."""
-    w = segment.word_array(F.col("text"))
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a.alias("prev"), b.alias("token")))
-    n = table(spark, sf, "documents", "text").select(F.explode(pairs).alias("x")).select("x.*").groupBy("prev", "token").agg(F.count("*").alias("n"))
+    n = sequence.bigram_counts(table(spark, sf, "documents", "text"))
     total = n.groupBy("prev").agg(F.sum("n").alias("total"))
     return n.join(total, "prev").select("prev", "token", "n", F.round(F.log(F.col("n") / F.col("total")), 9).alias("logp"))
 
@@ -64,7 +63,8 @@ def softmax(spark, sf):
     """SEQ17: probabilities of a linear log model as joins and aggregates."""
     weights = [("A", "x", 1.5), ("A", "y", -0.5), ("N", "x", 0.25), ("R", "y", 2.0), ("O", "x", 0.5), ("F", "y", 0.75), ("F", "x", 0.1)]
     rows = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    events = rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), F.array("l_returnflag", "l_linestatus").alias("features")).distinct()
+    events = rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), F.array("l_returnflag", "l_linestatus").alias("features"))
+    events = spread(events, rows.count(), "event_id").distinct()  # one shuffle serves all steps
     return sequence.softmax_scores(events, spark.createDataFrame(weights, "feature string, outcome string, weight double")).select("event_id", "outcome", F.round("p", 9).alias("p"))
 
 

@@ -1,10 +1,9 @@
 """Work and memory of operators don't follow the size of a batch, a group or a table."""
 
 import pyarrow as pa
-import pytest
 
-from spanloom import arrow
-from spanloom.operators import lookup, segment
+from spanloom import arrow, tasks
+from spanloom.operators import lookup, scoring, segment, sequence
 
 
 def test_batches_are_cut_by_bytes():
@@ -36,3 +35,30 @@ def test_phrases_without_a_group_a_document(spark):
         assert sorted(map(tuple, out.collect())) == want
         plan = out._jdf.queryExecution().toString()
         assert "FlatMapGroups" not in plan  # a group a document has a fixed cost
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_softmax_deals_no_rows_by_feature(spark):
+    from pyspark.sql import functions as F
+
+    events = spark.range(100).select(F.col("id").alias("event_id"), F.array(F.lit("a"), F.lit("b")).alias("features"))
+    weights = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0)], "feature string, outcome string, weight double")
+    out = sequence.softmax_scores(events, weights)
+    assert "hashpartitioning(feature" not in plan_of(out) and "BroadcastHashJoin" in plan_of(out)
+    assert {(r.outcome, round(r.p, 6)) for r in out.collect()} == {("x", 0.268941), ("y", 0.731059)}
+
+
+def test_tasks_follow_the_rows(spark):
+    assert tasks.tasks_for(spark, 100) == 1 and tasks.tasks_for(spark, 3_000_000_000) == 6000
+    assert tasks.spread(spark.range(10), 5_000_000, "id").rdd.getNumPartitions() == 10
+
+
+def test_set_scores_by_tasks(spark):
+    df = lambda xs: spark.createDataFrame(xs, "a int, b string")
+    r, k = df([(1, "x"), (1, "x"), (2, "y"), (None, None)]), df([(1, "x"), (3, "z"), (None, None)])
+    row = scoring.set_scores(r, k).collect()[0]
+    assert (row.correct, row.response, row.key, row.spurious, row.missing) == (2, 3, 3, 1, 1)
+    assert "REPARTITION_BY_NUM" in plan_of(scoring.set_scores(r, k))

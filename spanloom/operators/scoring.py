@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..tasks import spread
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -87,16 +89,22 @@ def score_relations(response: DataFrame, key: DataFrame, symmetric: list[str]) -
     """AGG8: relations (doc_id, type, arg1, arg2 as head ends) agree on type and arguments; symmetric types in either order."""
     def canon(d):
         swap = F.col("type").isin(*symmetric) & (F.col("arg1") > F.col("arg2"))
-        return d.select("doc_id", "type", F.when(swap, F.col("arg2")).otherwise(F.col("arg1")).alias("a"), F.when(swap, F.col("arg1")).otherwise(F.col("arg2")).alias("b")).distinct()
+        return d.select("doc_id", "type", F.when(swap, F.col("arg2")).otherwise(F.col("arg1")).alias("a"), F.when(swap, F.col("arg1")).otherwise(F.col("arg2")).alias("b"))
 
     return set_scores(canon(response), canon(key))
 
 
 def set_scores(response: DataFrame, key: DataFrame) -> DataFrame:
-    """AGG9/SET1/SET2: one row: common, response only, key only, P/R/F of two sets of rows."""
-    tag = lambda d, r, k: d.distinct().select(F.struct(*sorted(d.columns)).alias("x"), F.lit(r).alias("r"), F.lit(k).alias("k"))
-    per = tag(response, 1, 0).unionAll(tag(key, 0, 1)).groupBy("x").agg(F.max("r").alias("r"), F.max("k").alias("k"))
-    c = per.agg(*[F.coalesce(F.sum(e), F.lit(0)).cast("long").alias(n) for n, e in (("correct", F.col("r") * F.col("k")), ("response", F.col("r")), ("key", F.col("k")))])
+    """AGG9/SET1/SET2: one row: common, response only, key only, P/R/F of two sets of rows.
+
+    Equal rows of both sides meet in one group, over as many tasks as there are rows for.
+    """
+    columns = sorted(response.columns)
+    tag = lambda d, r, k: d.select(*columns, F.lit(r).alias("_r"), F.lit(k).alias("_k"))
+    both = spread(tag(response, 1, 0).unionAll(tag(key, 0, 1)), response.count() + key.count(), *columns)
+    per = both.groupBy(*columns).agg(F.max("_r").alias("_r"), F.max("_k").alias("_k"))
+    r, k = F.col("_r"), F.col("_k")
+    c = per.agg(*[F.coalesce(F.sum(e), F.lit(0)).cast("long").alias(n) for n, e in (("correct", r * k), ("response", r), ("key", k))])
     return with_prf(c).withColumn("spurious", F.col("response") - F.col("correct")).withColumn("missing", F.col("key") - F.col("correct"))
 
 
@@ -160,13 +168,15 @@ def score_events(response: DataFrame, key: DataFrame, response_arguments: DataFr
     counts; arguments (doc_id, start, end, role, value) by anchor, role and value.
     """
     span, whole = ["doc_id", "start", "end"], ["doc_id", "start", "end", "role", "value"]
-    one = lambda df, name: df.groupBy(*span).agg(F.min("subtype").alias(name))
-    both = one(response, "r").join(one(key, "k"), span, "full_outer")
+    count = response.count() + key.count() + response_arguments.count() + key_arguments.count()
+    one = lambda df, name: spread(df, count, *span).groupBy(*span).agg(F.min("subtype").alias(name))
+    both = one(response, "r").hint("merge").join(one(key, "k"), span, "full_outer")
     n = lambda c: F.count(F.when(c, 1))
     r, k = F.col("r"), F.col("k")
     events = both.agg(n(r == k).alias("events_correct"), n(r != k).alias("events_mistyped"), n(k.isNull()).alias("events_spurious"), n(r.isNull()).alias("events_missing"))
     side = lambda df, name: df.select(*whole, F.lit(True).alias(name))
-    args = side(response_arguments, "ra").unionByName(side(key_arguments, "ka"), allowMissingColumns=True).join(both.where(r == k).select(*span), span, "left_semi")
+    args = side(response_arguments, "ra").unionByName(side(key_arguments, "ka"), allowMissingColumns=True)
+    args = spread(args, count, *span).hint("merge").join(both.where(r == k).select(*span), span, "left_semi")
     args = args.groupBy(*whole).agg(F.max("ra").alias("ra"), F.max("ka").alias("ka"))
     a = args.agg(n(F.col("ra") & F.col("ka")).alias("arguments_correct"), n(F.col("ka").isNull()).alias("arguments_spurious"), n(F.col("ra").isNull()).alias("arguments_missing"))
     return events.withColumn("_", F.lit(0)).join(a.withColumn("_", F.lit(0)), "_").drop("_")

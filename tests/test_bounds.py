@@ -3,7 +3,7 @@
 import pyarrow as pa
 
 from spanloom import arrow, tasks
-from spanloom.operators import lookup, scoring, segment, sequence
+from spanloom.operators import coref, lookup, patterns, scoring, segment, sequence
 
 
 def test_batches_are_cut_by_bytes():
@@ -62,3 +62,14 @@ def test_set_scores_by_tasks(spark):
     row = scoring.set_scores(r, k).collect()[0]
     assert (row.correct, row.response, row.key, row.spurious, row.missing) == (2, 3, 3, 1, 1)
     assert "REPARTITION_BY_NUM" in plan_of(scoring.set_scores(r, k))
+
+
+def test_coreference_and_patterns_have_no_group_a_document(spark):
+    cols = "doc_id long, seq int, category string, text string, head string, sentence int, pos int, number string, human string, gender string"
+    one = lambda d: [(d, 1, "pronoun", "she", "she", 1, 10, "singular", "t", "f"), (d, 0, "name", "Ann Smith", "Smith", 0, 0, "singular", "t", "f"), (d, 2, "name", "Bob", "Bob", 2, 20, None, None, None)]
+    out = coref.resolve_documents(spark.createDataFrame([r for d in range(30) for r in one(d)], cols).repartition(5))
+    assert sorted(map(tuple, out.collect())) == [(d, s, e) for d in range(30) for s, e in ((0, 0), (1, 0), (2, 1))]
+    docs = spark.createDataFrame([(d, "the cat sat") for d in range(30)], "doc_id long, text string")
+    found = patterns.apply_patterns(segment.tokenize(docs).repartition(5), 'pattern set s; when ("the" | "a") ("cat" | "dog") : Head add [ngroup head=Head];', "s")
+    assert sorted((r.doc_id, r.type, r.start, r.end, r.attrs["head"]) for r in found.collect()) == [(d, "ngroup", 0, 8, "cat") for d in range(30)]
+    assert "FlatMapGroups" not in plan_of(out) + plan_of(found)

@@ -2,8 +2,10 @@
 
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from spanloom import arrow, tasks
-from spanloom.operators import coref, lookup, patterns, scoring, segment, sequence
+from spanloom.operators import coref, lookup, mentions, patterns, scoring, segment, sequence
 
 
 def test_batches_are_cut_by_bytes():
@@ -73,3 +75,26 @@ def test_coreference_and_patterns_have_no_group_a_document(spark):
     found = patterns.apply_patterns(segment.tokenize(docs).repartition(5), 'pattern set s; when ("the" | "a") ("cat" | "dog") : Head add [ngroup head=Head];', "s")
     assert sorted((r.doc_id, r.type, r.start, r.end, r.attrs["head"]) for r in found.collect()) == [(d, "ngroup", 0, 8, "cat") for d in range(30)]
     assert "FlatMapGroups" not in plan_of(out) + plan_of(found)
+
+
+def test_mentions_follow_chains_once(spark, monkeypatch):
+    seen = []
+    real = mentions.head_roots
+    monkeypatch.setattr(mentions, "head_roots", lambda links: seen.append(1) or real(links))
+    c = spark.createDataFrame([(1, 1, "np", 2), (1, 2, "ngroup", None)], "doc_id long, node long, cat string, head long")
+    none = {n: F.lit(None).cast("string") for n in ("det", "tposs", "nhuman")}
+    c = c.withColumns({"start": F.lit(0), "end": F.lit(0), "text": F.lit("dog"), **none, "pa": F.lit(None).cast("struct<head:string,det:string,number:string,human:string>"), "children": F.array().cast("array<long>")})
+    assert [(r.doc_id, r.node) for r in mentions.gather_mentions(c).collect()] == [(1, 1)]
+    assert len(seen) == 2  # to the end, and to the first with a predicate
+
+
+def test_chains_send_nothing_by_broadcast(spark):
+    links = spark.range(1000).select(F.lit(1).alias("doc_id"), F.col("id").alias("mention"), F.when(F.col("id") > 0, F.col("id") - 1).alias("ref"))
+    joins = []
+    real = coref._written
+    coref._written = lambda df: joins.append(plan_of(df)) or real(df)
+    try:
+        assert {r.root for r in coref.chains_from_links(links).collect()} == {0}
+    finally:
+        coref._written = real
+    assert len(joins) > 5 and not any("Broadcast" in p for p in joins)

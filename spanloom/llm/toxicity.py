@@ -18,6 +18,9 @@ none); equal texts score alike.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ from .common import ALNUM_WORDS, free_name, prefix_hash, ragged, settle, slices,
 BUCKETS, DIM, GRAMS = 1 << 19, 6, (3, 4, 5, 6)
 EPOCHS, BATCH, RATE, SEED, MIN_DF, MIN_STEPS, IDF_POWER = 12, 64, 2.0, 7, 3, 300, 2
 THRESHOLD, MOD, HELD_OUT = 0.3, 4, 2
+#: a bucket of a row's bag, as it is written
+BAG = np.dtype([("id", np.int32), ("w", np.float32)])
 
 
 def subwords(raw: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -77,20 +82,45 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> Model:
     if len(set(y.tolist())) < 2:
         p = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
         return Model(np.zeros(BUCKETS), np.log(p / (1 - p)))
-    bags = []
+    with tempfile.TemporaryFile() as file:
+        return _train(file, rows, y, share)
+
+
+def _bags(file, rows: list[tuple[str, int]]) -> tuple[Callable[[int], tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Reader of each row's (bucket ids, shares), and the rows of each bucket.
+
+    Bags are several times as large as their texts, so they stay in ``file`` and a mini-batch reads its own.
+    """
+    ends, df = [0], np.zeros(BUCKETS, np.int32)
     for text, _ in rows:
         raw = np.frombuffer(text.encode(), np.uint8)
         ids = np.concatenate([x for x, _ in subwords(raw, np.array([0, len(raw)]))])
         u, n = np.unique(ids, return_counts=True)
-        bags.append((u.astype(np.int32), (n / max(1, len(ids))).astype(np.float32)))
-    df = np.zeros(BUCKETS, np.int32)
-    for ids, _ in bags:
-        df[ids] += 1
+        bag = np.empty(len(u), BAG)
+        bag["id"], bag["w"] = u, n / max(1, len(ids))
+        df[u] += 1
+        file.write(bag.tobytes())
+        ends.append(ends[-1] + len(u))
+    file.flush()
+
+    def bag_of(i: int) -> tuple[np.ndarray, np.ndarray]:
+        file.seek(ends[i] * BAG.itemsize)
+        bag = np.frombuffer(file.read((ends[i + 1] - ends[i]) * BAG.itemsize), BAG)
+        return np.ascontiguousarray(bag["id"]), np.ascontiguousarray(bag["w"])
+
+    return bag_of, df
+
+
+def _train(file, rows: list[tuple[str, int]], y: np.ndarray, share: float | None) -> Model:
+    bag_of, df = _bags(file, rows)
     least = min(MIN_DF, max(1, len(rows) // 50))
     rare = (np.log(len(rows) / np.maximum(df, 1)) ** IDF_POWER).astype(np.float32)  # common subwords say little
-    for i, (ids, w) in enumerate(bags):  # in place, as two lists of bags would be the driver's largest data
+
+    def weighed(i: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, w = bag_of(i)
         k = df[ids] >= least
-        bags[i] = ids[k], w[k] * rare[ids[k]]
+        return ids[k], w[k] * rare[ids[k]]
+
     rng = np.random.default_rng(SEED)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -99,9 +129,10 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> Model:
     epochs = max(EPOCHS, -(-MIN_STEPS * BATCH // len(rows)))  # small samples need as many steps
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
-            part = [x for x in order[k : k + BATCH] if len(bags[x][0])]
+            bags = {x: bag for x in order[k : k + BATCH] if len((bag := weighed(x))[0])}
+            part = list(bags)
             if not part:
                 continue
             ids, w = np.concatenate([bags[x][0] for x in part]), np.concatenate([bags[x][1] for x in part])

@@ -125,3 +125,19 @@ def test_quality_query_equals_sorting_all_cosines(spark, sf_dir):
         near = [(max(s, 0) ** quality.SHARPNESS, y) for s, y in sims[: quality.NEIGHBOURS]]
         total = sum(w for w, _ in near)
         assert abs(got[r.doc_id] - (sum(w * y for w, y in near) / total if total else model.share)) < 1e-6, r
+
+
+def test_training_holds_no_bags_of_all_rows(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "MIN_STEPS", 1)
+    monkeypatch.setattr(toxicity, "BATCH", 4)
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(20_000)]
+    rows = [(" ".join(words[x] for x in rng.integers(0, len(words), 1250)), i % 2) for i in range(400)]
+    tracemalloc.start()
+    toxicity.train(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20  # the bags are over 100 MB

@@ -25,6 +25,8 @@ _EMAIL, _URL = re.compile(EMAIL), re.compile(URL)
 _CLITICS = {3: ("n't", "'re", "'ve", "'ll"), 2: ("'s", "'m", "'d")}
 _MARKUP = re.compile(r"(?:\s+|<[^>]*>)*")
 _BLOCK, _FIGURES = re.compile(r"(\S+)\s*"), re.compile(r"[0-9][0-9,]*")
+#: longest block whose tokens are kept: a longer one hardly comes again, and takes as much memory as it has tokens
+CACHED_SIGNS = 24
 TOKEN = "doc_id {0}, seq int, start int, `end` int, token string, `case` string, intvalue long, type string"
 
 
@@ -78,7 +80,7 @@ def tokens_of(text: str, start: int = 0, end: int | None = None, whole_document:
         if final or special and any(begin <= k < stop for k in special):
             parts = _parts(block, _cuts(block, begin, final, special))
         else:
-            parts = _plain_block(block)
+            parts = _plain_block(block) if stop - begin <= CACHED_SIGNS else _parts(block, _cuts(block, 0, False, {}))
         for s, e, word, upper, value in parts:
             case, type_ = None, kind.get(begin + s)
             if type_ is not None:
@@ -117,7 +119,7 @@ def _parts(block: str, cut: list[bool]) -> list[tuple[int, int, str, bool, int |
     return out
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 14)
 def _plain_block(block: str) -> list[tuple[int, int, str, bool, int | None]]:
     """Tokens of a block that is neither a text's last nor holds an address: the same wherever it stands."""
     return _parts(block, _cuts(block, 0, False, {}))

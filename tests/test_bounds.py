@@ -98,3 +98,25 @@ def test_chains_send_nothing_by_broadcast(spark):
     finally:
         coref._written = real
     assert len(joins) > 5 and not any("Broadcast" in p for p in joins)
+
+
+def test_tokens_keep_no_long_blocks():
+    segment._plain_block.cache_clear()
+    long = "a,b" * 100
+    text = f"short {long} words {long} end"
+    got = list(segment.tokens_of(text))
+    assert "".join(text[a:b] for a, b, *_ in got) == text and [t[2] for t in got].count("a") == 2
+    assert segment._plain_block.cache_info().currsize == 2  # short, words
+    assert segment._plain_block.cache_info().maxsize * segment.CACHED_SIGNS < 1 << 20
+
+
+def test_spans_go_out_in_slices(spark, monkeypatch):
+    from spanloom.operators import segment as s
+
+    docs = spark.createDataFrame([(d, "one two. Three four.\nFive six. " * 20) for d in range(200)], "doc_id long, text string").coalesce(1)
+    whole = [sorted(map(tuple, f.collect())) for f in (s.pieces(docs, "\n", "line"), s.sentences(docs), s.tokenize(docs))]
+    sizes = []
+    for f in (lambda: s.pieces(docs, "\n", "line"), lambda: s.sentences(docs), lambda: s.tokenize(docs)):
+        monkeypatch.setattr(s, "slices", lambda batches: arrow.slices(batches, 1000))
+        sizes.append(sorted(map(tuple, f().collect())))
+    assert sizes == whole  # a slice's limits don't show in the rows

@@ -120,3 +120,12 @@ def test_spans_go_out_in_slices(spark, monkeypatch):
         monkeypatch.setattr(s, "slices", lambda batches: arrow.slices(batches, 1000))
         sizes.append(sorted(map(tuple, f().collect())))
     assert sizes == whole  # a slice's limits don't show in the rows
+
+
+def test_anchor_extents_by_tasks(spark):
+    cols = "doc_id long, node int, cat string, head int, start int, `end` int, text string, nhuman string"
+    c = spark.createDataFrame([(1, 1, "n", None, 50, 55, None, None), (1, 3, "np", 1, 40, 60, None, None)], cols)
+    out = mentions.anchor_extents(c.where("node = 1").withColumn("anchor", F.lit(1)), c)
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 40, 60, False)]
+    plan = plan_of(out)
+    assert "BroadcastHashJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("REPARTITION_BY_NUM") >= 8

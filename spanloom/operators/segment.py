@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..arrow import record_batches, slices
+from ..arrow import map_batches, record_batches, slices
 
 _USER, _DOMAIN = r"[a-zA-Z0-9_.-]+", r"(?:[a-zA-Z0-9-]+\.)+[a-zA-Z0-9]+"
 EMAIL = rf"{_USER}(?: ?\.\.\. ?)?@{_DOMAIN}"
@@ -178,9 +178,10 @@ def pieces(docs: DataFrame, sep: str, type_: str, text: str = "text") -> DataFra
             base = np.concatenate(([0], ends))[at[:-1]][row]
             e = ends - 1 - base
             ids = pc.take(b.column(0), pa.array(row))
-            yield pa.RecordBatch.from_arrays([ids, pa.array((np.arange(len(row)) - at[row]).astype(np.int32)), pa.repeat(type_, len(row)), pa.array((e - n).astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "seq", "type", "start", "end"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array((np.arange(len(row)) - at[row]).astype(np.int32)), pa.array((e - n).astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "seq", "start", "end"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, seq int, type string, start int, `end` int")
+    found = map_batches(docs.select("doc_id", text), run, f"doc_id {kind}, seq int, start int, `end` int")
+    return found.select("doc_id", "seq", F.lit(type_).alias("type"), "start", "end")
 
 
 # ---------------------------------------------------------------- SEG6

@@ -129,3 +129,30 @@ def test_anchor_extents_by_tasks(spark):
     assert [tuple(r) for r in out.collect()] == [(1, 1, 40, 60, False)]
     plan = plan_of(out)
     assert "BroadcastHashJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("REPARTITION_BY_NUM") >= 8
+
+
+def bounded(batches):
+    for b in batches:
+        assert b.nbytes < 5 << 20
+        yield from arrow.slices([b])
+
+
+def wide(spark):
+    return spark.range(0, 100, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x" * 999 + " "), 90).alias("text"))  # 9 MB, far below a batch's rows
+
+
+def test_pieces_get_batches_of_few_bytes(spark, monkeypatch):
+    monkeypatch.setattr(segment, "slices", bounded)
+    out = segment.pieces(wide(spark), " ", "word")
+    assert out.columns == ["doc_id", "seq", "type", "start", "end"]
+    assert out.where("type = 'word'").agg(F.count("*"), F.max("end"), F.max("seq")).collect() == [(9100, 90000, 90)]
+
+
+def test_a_session_keeps_its_own_bound_of_batches(spark):
+    key, held = arrow.BATCH_BYTES[0], spark.conf.get(arrow.BATCH_BYTES[0], None)
+    try:
+        spark.conf.set(key, "1m")
+        segment.pieces(wide(spark), " ", "word")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, held or arrow.BATCH_BYTES[1])

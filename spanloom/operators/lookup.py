@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..arrow import groups, in_order, key_type, record_batches, slices
+from ..arrow import groups, in_order, key_type, map_batches, record_batches, slices
 from .segment import tokens_of
 
 
@@ -82,7 +82,7 @@ def annotate_phrases(tokens: DataFrame, entries: DataFrame, phrase: str = "phras
         yield from record_batches(rows, [like, pa.int32(), pa.int32(), pa.string()], ["doc_id", "start", "end", "class"])
 
     rows = in_order(tokens, "doc_id", "seq").select("doc_id", "start", "end", "token")
-    return rows.mapInArrow(run, f"doc_id {kind}, start int, `end` int, class string")
+    return map_batches(rows, run, f"doc_id {kind}, start int, `end` int, class string")
 
 
 def annotate_texts(docs: DataFrame, entries: DataFrame, text: str = "text", phrase: str = "phrase", classes: str = "class", fold: bool = False, max_entries: int = 2_000_000) -> DataFrame:
@@ -96,7 +96,7 @@ def annotate_texts(docs: DataFrame, entries: DataFrame, text: str = "text", phra
             rows = (r for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in _hits(d, [t[:3] for t in tokens_of(x or "")], trie, fold))
             yield from record_batches(rows, [b.schema.field(0).type, pa.int32(), pa.int32(), pa.string()], ["doc_id", "start", "end", "class"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, start int, `end` int, class string")
+    return map_batches(docs.select("doc_id", text), run, f"doc_id {kind}, start int, `end` int, class string")
 
 
 def phrase_join(grams: DataFrame, entries: DataFrame, phrase: str = "phrase") -> DataFrame:

@@ -137,7 +137,7 @@ def tokenize(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = ((d, k, *t) for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, t in enumerate(tokens_of(x or "")))
             yield from record_batches(rows, [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()], names)
 
-    return docs.select("doc_id", text).mapInArrow(run, TOKEN.format(kind))
+    return map_batches(docs.select("doc_id", text), run, TOKEN.format(kind))
 
 
 def emails(text: Column) -> Column:
@@ -252,7 +252,7 @@ def sentences(docs: DataFrame, text: str = "text", monocase: str | None = None,
             rows = ((d, k, s, e) for d, x, m, v in zip(*[b.column(i).to_pylist() for i in range(4)]) for k, (s, e) in enumerate(sentences_of(x or "", dividers=tuple(v or ()), monocase=bool(m))))
             yield from record_batches(rows, [b.schema.field(0).type, *[pa.int32()] * 3], ["doc_id", "seq", "start", "end"])
 
-    return docs.select("doc_id", F.col(text).alias("t"), mono.alias("m"), div.alias("v")).mapInArrow(run, f"doc_id {kind}, seq int, start int, `end` int")
+    return map_batches(docs.select("doc_id", F.col(text).alias("t"), mono.alias("m"), div.alias("v")), run, f"doc_id {kind}, seq int, start int, `end` int")
 
 
 # ---------------------------------------------------------------- SEG7-SEG13

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..arrow import slices
+from ..arrow import map_batches, slices
 from .segment import word_array
 
 START, END = "start", "end"
@@ -165,7 +165,7 @@ def decode(sentences: DataFrame, model: Hmm, n: int = 1) -> DataFrame:
             types = [b.schema.field(0).type, pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=["sent_id", "rank", "logp", "margin", "tags", "hypo"])
 
-    return sentences.select("sent_id", "words").mapInArrow(run, f"sent_id {kind}, rank int, logp double, margin double, tags array<string>, hypo string")
+    return map_batches(sentences.select("sent_id", "words"), run, f"sent_id {kind}, rank int, logp double, margin double, tags array<string>, hypo string")
 
 
 def decode_with_cache(documents: DataFrame, model: Hmm) -> DataFrame:

@@ -156,3 +156,15 @@ def test_a_session_keeps_its_own_bound_of_batches(spark):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.set(key, held or arrow.BATCH_BYTES[1])
+
+
+def first_rows(batches):
+    for b in batches:
+        assert b.nbytes < 5 << 20
+        yield b.slice(0, 1)
+
+
+def test_sentences_and_tokens_get_batches_of_few_bytes(spark, monkeypatch):
+    monkeypatch.setattr(segment, "slices", first_rows)
+    for f in (segment.sentences, segment.tokenize):
+        assert f(wide(spark)).select("doc_id").distinct().count() > 1  # several batches, one row of each

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..operators import segment, sequence
 from ..tasks import spread
@@ -35,10 +36,10 @@ def transitions(spark, sf):
 n AS (SELECT prev, token, count(*) AS n FROM w WHERE prev IS NOT NULL GROUP BY ALL)
 SELECT prev, token, n, round(ln(n / sum(n) OVER (PARTITION BY prev)), 9) AS logp FROM n""")
 def bigrams(spark, sf):
-    """SEQ5: bigrams of words.  Neighbours are read inside a row's word array: no window, no shuffle before the counts."""
+    """SEQ5: bigrams of words.  Neighbours are read inside a row's word array: no shuffle before the counts, and one behind them, as totals are summed where the counts lie."""
     n = sequence.bigram_counts(table(spark, sf, "documents", "text"))
-    total = n.groupBy("prev").agg(F.sum("n").alias("total"))
-    return n.join(total, "prev").select("prev", "token", "n", F.round(F.log(F.col("n") / F.col("total")), 9).alias("logp"))
+    total = F.sum("n").over(W.partitionBy("prev"))
+    return n.select("prev", "token", "n", F.round(F.log(F.col("n") / total), 9).alias("logp"))
 
 
 @P.add("hmm4_name_list", """WITH w AS (SELECT p_brand AS type, string_split(p_name, ' ') AS w FROM part), x AS (SELECT type, len(w) AS k, unnest(w) AS token, unnest(range(len(w))) AS p FROM w)

@@ -168,3 +168,14 @@ def test_sentences_and_tokens_get_batches_of_few_bytes(spark, monkeypatch):
     monkeypatch.setattr(segment, "slices", first_rows)
     for f in (segment.sentences, segment.tokenize):
         assert f(wide(spark)).select("doc_id").distinct().count() > 1  # several batches, one row of each
+
+
+def test_bigrams_are_counted_once(spark, tmp_path):
+    from spanloom.plans import sequences
+
+    texts = [(1, "a b a c"), (2, " a b\n"), (3, None), (4, ""), (5, "a")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sequences.bigrams(spark, str(tmp_path))
+    assert {(r.prev, r.token, r.n, round(r.logp, 3)) for r in out.collect()} == {("a", "b", 2, -0.405), ("a", "c", 1, -1.099), ("b", "a", 1, 0.0)}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Scan parquet") == plan.count("FileScan parquet") == 1

@@ -155,22 +155,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(fits).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(node, label): smallest node reachable over ``links`` (a, b); ``labels`` are known ones to start from."""
+def components(links: DataFrame, labels: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(node, label): smallest node reachable over ``links`` (a, b; at most ``most``); ``labels`` are known ones to start from."""
     if labels is not None:  # links between labels instead of nodes
         la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         links = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     links = links.where("a <> b")
-    both = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    if both.isEmpty() and labels is not None:
+    both = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select(F.col("b"), F.col("a"))).distinct(), "links", most and 2 * most)
+    size = both.count()  # of nodes at most, too
+    if not size and labels is not None:
         return labels
-    now = materialize(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "labels")
+    now = materialize(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("label")), "labels", size)
     while True:
         spent = now
         heard = both.join(now.select(F.col("node").alias("to"), F.col("label").alias("l")), "to").select("node", "l", F.lit(None).cast("long").alias("own"))
         nxt = heard.union(now.select("node", "label", "label")).groupBy("node").agg(F.min("l").alias("near"), F.max("own").alias("old"))
         up = now.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        nxt = materialize(nxt.join(up, "near", "left").select("node", F.least("near", "far").alias("label"), "old"), "labels")
+        nxt = materialize(nxt.join(up, "near", "left").select("node", F.least("near", "far").alias("label"), "old"), "labels", size)
         now = nxt.select("node", "label")
         now._written_to = nxt._written_to
         drop(spent)
@@ -181,13 +182,13 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         return now
     moved = now.select(F.col("node").alias("label"), F.col("label").alias("l2"))
     kept = labels.join(moved, "label", "left").select("node", F.coalesce("l2", "label").alias("label"))
-    out = materialize(kept.union(now.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+    out = materialize(kept.union(now.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels", labels.count() + size)
     drop(now, labels)
     return out
 
 
-def rare_step(rest: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """(labels, rest, tables to drop when rest is read) with all links found that need a rare shingle, and without the members that need one.
+def rare_step(rest: DataFrame, size: int, sets: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(labels, rest of ``size`` rows, tables to drop when rest is read) with all links found that need a rare shingle, and without the members that need one.
 
     A shingle is rare if at most RARE of the members have it.  A member with q
     rare ones among n meets a partner of size m that shares none of them in n - q
@@ -199,8 +200,8 @@ def rare_step(rest: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
     members = rest.groupBy("rep").agg(F.first("label").alias("label"), F.first("n").alias("n"))
     own = sets.join(members, sets["doc_id"] == members["rep"]).select("rep", "label", "n", F.explode("shingles").alias("s"))
     few = own.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    rare = materialize(own.join(few, "s"), "rare")
-    q = materialize(rare.groupBy("rep").agg(F.count("*").alias("q")), "rare-counts")
+    rare = materialize(own.join(few, "s"), "rare", members.agg(F.sum("n")).first()[0])
+    q = materialize(rare.groupBy("rep").agg(F.count("*").alias("q")), "rare-counts", size)
     left = rare.where("df > 1").select("s", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
     right = rare.where("df > 1").select("s", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
     fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -227,35 +228,40 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sketched = materialize(sketch_table(docs, secret, percent), "sketches")
     key = ["n_shingles", "s1", "s2"]
-    classes = materialize(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    classes = materialize(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes", sketched.count() * bands_for(percent))
     buckets = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("bucket", "size")
-    buckets = materialize(buckets.join(sizes, "bucket"), "buckets")
+    buckets = materialize(buckets.join(sizes, "bucket"), "buckets", classes.count() * bands_for(percent))
+    size = buckets.count()
     # the members that meet most others lead first: originals stand nearer to all than copies of copies
-    fame = materialize(buckets.groupBy("rep").agg(F.sum("size").alias("fame")), "members")
+    fame = materialize(buckets.groupBy("rep").agg(F.sum("size").alias("fame")), "members", size)
     sets = materialize(set_table(docs.join(fame.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), secret), "sets")
     famous = buckets.join(fame, "rep")
     led = famous.groupBy("bucket").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("a"))
     active, labels, shares = buckets.select("bucket", "rep", "n"), None, LEADERS
     spent = [buckets, fame]
-    while not active.isEmpty():
+    while size:
         pairs = active.join(led, "bucket").where("a <> rep") if labels is None else once(active, led)
         pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        first, labels = labels is None, components(verified(pairs, sets, percent), labels)
+        # of a member, a pair with the first leader, later with those that ``leaders`` allows
+        most = size if labels is None else max(PAIRS_PER_MEMBER, shares) * size
+        first, labels = labels is None, components(verified(pairs, sets, percent), labels, most)
         # who has led is done; buckets go on while the rest is of several components
         rest = active.select("bucket", "rep", "n").join(led.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
-        rest = materialize(several(labelled(rest, labels)), "active")
+        rest = materialize(several(labelled(rest, labels)), "active", size)
+        size = rest.count()
         drop(*spent)
         spent = [rest]
-        if first and not rest.isEmpty():  # later rounds have members that need no rare shingles
-            labels, rest, used = rare_step(rest, sets, labels, percent)
-            rest = materialize(rest, "active")
+        if first and size:  # later rounds have members that need no rare shingles
+            labels, rest, used = rare_step(rest, size, sets, labels, percent)
+            rest = materialize(rest, "active", size)
+            size = rest.count()
             drop(*used)
             spent.append(rest)
         active = rest
-        if active.isEmpty():
+        if not size:
             break
-        led = materialize(leaders(active, shares), "leaders")
+        led = materialize(leaders(active, shares), "leaders", size)
         spent.append(led)
         shares *= 2
     drop(*spent, sets)

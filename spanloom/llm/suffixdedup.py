@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_array, drop, free_name, materialize, prefix_hash, ragged, settle, shared_dir, slices, span_hash, text_buffers
+from .common import binary_array, drop, free_name, materialize, plain_files, prefix_hash, ragged, settle, shared_dir, slices, span_hash, text_buffers
 
 LENGTH, GRAM = 50, 20
 SPREAD = LENGTH - GRAM + 1
@@ -229,7 +229,7 @@ def _bucketed(blocks: DataFrame, parts: int) -> DataFrame:
     """``blocks`` as a table of ``parts`` buckets in the shared folder; joins by block leave it where it lies."""
     spark, name = blocks.sparkSession, f"spanloom_blocks_{uuid.uuid4().hex}"
     writer = blocks.repartition(parts, "block").write.format("parquet").option("compression", "uncompressed").bucketBy(parts, "block")
-    writer.option("path", f"{shared_dir(spark)}/spanloom/{name}").saveAsTable(name)
+    plain_files(spark, writer).option("path", f"{shared_dir(spark)}/spanloom/{name}").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the files stay, and ``out`` knows them
     return out

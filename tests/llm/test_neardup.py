@@ -140,3 +140,25 @@ def test_long_texts_go_window_by_window(monkeypatch):
 def test_bands_follow_the_threshold(percent):
     n = neardup.bands_for(percent)
     assert (1 - min(0.999999, (percent / 100) ** neardup.ROWS)) ** n <= neardup.MISS * 1.001
+
+
+def test_small_tables_are_written_by_few_tasks(spark, monkeypatch):
+    """Each round writes tables of a few numbers a row; their files don't follow the partitions of a shuffle."""
+    from spanloom.llm import common
+
+    seen = []
+    real = common.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name, *a, **b: seen.append((name, len((out := real(df, name, *a, **b)).inputFiles()))) or out)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*base, f"own{k}"])) for k in range(80)] + [(100 + k, f"{k} {k} {k} {k} {k} x") for k in range(40)]
+    try:
+        for k, v in zip(held, ("40", "false")):
+            spark.conf.set(k, v)
+        out = got(neardup.link_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert out == brute(rows)
+    small = [n for name, n in seen if name not in ("sketches", "sets")]
+    assert len(small) >= 4 and max(small) <= spark.sparkContext.defaultParallelism

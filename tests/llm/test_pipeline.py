@@ -65,3 +65,21 @@ def test_run_and_odd_tables(spark, sf_dir, tmp_path):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 3").withColumn("score", corpus_pipeline.F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2
+
+
+def test_temporary_tables_start_no_process_for_each_file(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from spanloom.llm import suffixdedup
+    from spanloom.llm.common import drop, materialize
+
+    out = materialize(spark.range(0, 100, 1, 4), "plain")
+    folder = Path(urlparse(out._written_to).path)
+    blocks = suffixdedup._bucketed(spark.range(0, 100, 1, 4).withColumnRenamed("id", "block"), 3)
+    files = [Path(urlparse(f).path) for f in blocks.inputFiles()]
+    assert out.count() == blocks.count() == 100 and len(list(folder.glob("*.parquet"))) == 4 and files
+    # a .crc is written only by the file system that starts chmod for it and for its file
+    assert not [*folder.glob(".*.crc"), *(x for f in files for x in f.parent.glob(".*.crc"))]
+    drop(out)
+    assert not folder.exists()

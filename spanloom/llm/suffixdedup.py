@@ -269,16 +269,16 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     settle(spark)
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
-    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    total, count = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0)), F.count("*")).first()
     buckets = max(64, 2 * spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
     blocks = _bucketed(pack_blocks(docs, id_at, text_at), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES)))
 
     # 1. whole texts that an earlier document equals
     entries = blocks.select("block", F.explode("slots").alias("x")).select("block", "x.*")
     firsts = entries.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("d1", "d2", "first")
-    firsts = materialize(firsts, "firsts")  # written, so that Spark can split the join where one text's copies crowd
+    firsts = materialize(firsts, "firsts", count)  # written, so that Spark can split the join where one text's copies crowd
     copies = entries.join(firsts, ["d1", "d2"]).where("id > first").select("block", F.explode("slots").alias("slot"))
-    dups = materialize(copies.groupBy("block").agg(F.collect_list("slot").alias("dups")), "copies")  # at most a block's rows
+    dups = materialize(copies.groupBy("block").agg(F.collect_list("slot").alias("dups")), "copies", count)  # at most a block's rows
     drop(firsts)
     none = F.array().cast("array<int>")
     base = blocks.join(dups.hint("shuffle_hash"), "block", "left").select("block", "rows", F.concat("local", F.coalesce("dups", none)).alias("dups"))

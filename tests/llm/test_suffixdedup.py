@@ -101,3 +101,21 @@ def test_prefix_classes_by_backward_extension(parts, length):
         a, b = keys[k - 1], keys[k]
         if len(a) == len(b) == length:
             assert bool(boundary[k]) == (a != b)
+
+
+def test_small_tables_are_written_by_few_tasks(spark, monkeypatch):
+    seen = []
+    real = suffixdedup.materialize
+    monkeypatch.setattr(suffixdedup, "materialize", lambda df, name, *a, **b: seen.append((name, (out := real(df, name, *a, **b)).inputFiles())) or out)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("40", "false")):
+            spark.conf.set(k, v)
+        rows = [(i, f"text of its own {i % 60} and nothing else " * 3) for i in range(120)]
+        out = suffixdedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(20))
+        assert out.where("n_bytes = n_removed").count() >= 60
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    files = dict(seen)
+    assert 0 < len(files["firsts"]) <= spark.sparkContext.defaultParallelism and len(files["copies"]) <= spark.sparkContext.defaultParallelism
